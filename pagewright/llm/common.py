@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 #: Java and RE2 spelling of a run of the six white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Largest number of (narrow) rows that a map-side join may replicate.
@@ -53,6 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session's Python stages in rows and bytes."""
+    reachable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -205,7 +205,7 @@ class Adam:
         self.t += 1
         norm = np.sqrt(sum(float(np.vdot(x, x)) for x in d.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-9))
-        rate = self.rate * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
+        rate = self.rate * min(1.0, self.t / 25) * np.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k, x in self.model.p.items():
             g = d[k] * np.float32(clip)
             m, v = self.m[k], self.v[k]
@@ -223,9 +223,10 @@ def windows(packed: tuple, steps: int = STEPS) -> Iterator[tuple[int, np.ndarray
 
 
 def train(model: Model, optimizer: Adam, docs: list[np.ndarray], rng: np.random.Generator) -> int:
-    """One pass over ``docs``; returns the number of tokens."""
+    """One pass over ``docs``; returns the number of tokens.  Few tokens go in fewer lanes, so that they make about 50 windows at least."""
     h, seen = None, 0
-    for active, inputs, targets, _ in windows(pack(docs)):
+    lanes = int(np.clip(sum(map(len, docs)) // (50 * STEPS), 8, LANES))
+    for active, inputs, targets, _ in windows(pack(docs, lanes)):
         h = np.zeros((active, model.h), np.float32) if h is None else h[:active]
         if rng.integers(TRAINED_OF) == 0:
             d, h, _ = model.step(inputs, targets, h)

@@ -35,6 +35,8 @@ RATE = 0.02
 ROUNDS = ((0, 4), (4, 16))
 #: Tokens that are packed into lanes together, and distinct words that a task holds.
 BLOCK_TOKENS, HELD_WORDS = 600_000, 600_000
+#: A block of few tokens is gone through so often at most.
+MOST_PASSES = 3
 END = -1
 _MARK, _PAUSE = frozenset(b".!?"), frozenset(b",;:*#$%&\"')")
 
@@ -178,7 +180,11 @@ def train(docs: DataFrame, statistics: Statistics) -> np.ndarray:
             optimizer, rng, seen = gru.Adam(model, RATE / (1 + r)), np.random.default_rng(r), 0
             codes = Codes(own)
             for _, block in _blocks(batches, codes):
-                seen += gru.train(model, optimizer, [model_ids(d, own) for d in block], rng)
+                ids = [model_ids(d, own) for d in block]
+                tokens = sum(map(len, ids))
+                for _ in range(min(MOST_PASSES, max(1, BLOCK_TOKENS // (2 * tokens)))):
+                    gru.train(model, optimizer, ids, rng)
+                seen += tokens
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.vector().tobytes()], pa.binary())], ["weight", "vector"])
 

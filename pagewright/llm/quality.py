@@ -32,6 +32,8 @@ BUCKETS = 1 << 14
 #: Labelled rows of either quality that the target model and the threshold are fitted on.
 SAMPLE = 10_000
 SMOOTHING = 1.0
+#: What a lost good document weighs against a kept bad one.
+GOOD_WEIGHT = 4
 TEMPERATURE = 0.05
 SEED = "gumbel"
 #: Words' ids remembered by a task.
@@ -134,14 +136,14 @@ def importance(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
 
 def threshold(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that separates good from bad with the best mean of both hit rates; -inf without rows of both kinds."""
+    """The weight that separates good from bad best, a share of good rows lost counting as GOOD_WEIGHT times a share of bad rows kept; -inf without rows of both kinds."""
     if not good.any() or good.all():
         return float("-inf")
     order = np.argsort(weights, kind="stable")
     w, g = weights[order], good[order]
     kept_good = 1 - np.concatenate([[0], np.cumsum(g)]) / g.sum()
     dropped_bad = np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
-    score = kept_good + dropped_bad
+    score = GOOD_WEIGHT * kept_good + dropped_bad
     cuts = np.concatenate([[True], w[1:] > w[:-1], [False]])  # no cut inside a tie
     best = int(np.argmax(np.where(cuts, score, -1)))
     return float("-inf") if best == 0 else float((w[best - 1] + w[best]) / 2)
