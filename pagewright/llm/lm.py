@@ -30,7 +30,7 @@ from .common import map_batches, materialize, texts_of
 CLASSES, WORDS, HIDDEN, EMBED = 32, 32, 16, 16
 KINDS = 16
 HOT_WORDS = 1 << 18
-RATE = 0.02
+RATE = 0.03
 #: Shares of the training documents, in sixteenths, that the rounds take.
 ROUNDS = ((0, 4), (4, 16))
 #: Tokens that are packed into lanes together, and distinct words that a task holds.
