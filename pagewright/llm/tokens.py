@@ -11,8 +11,10 @@ the parts' totals.  Documents ascend by id over the parts.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize, scratch
 
 NULL_ID = -(2**63)
-#: Words whose ids a task remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 700_000
+#: Words whose ids a Python worker remembers: so many new ones, and as many that it knew before those.
+CACHE_WORDS = 250_000
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -51,7 +54,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.limit, self.first, self.later = cache, {}, {}
+        self.limit, self.first, self.later, self.older = cache, {}, {}, {}
         kind = self.tokenizer.pre_tokenizer
         self.chunks = type(kind).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not getattr(kind, "add_prefix_space", True)
 
@@ -59,9 +62,17 @@ class Encoder:
         return np.array(ids, self.dtype).tobytes()
 
     def _learn(self, known: dict, words: set[str], before: str) -> None:
-        if len(known) + len(words) > self.limit:
+        if len(known) + len(words) > self.limit and known:
+            self.older[before] = dict(known)
             known.clear()
-        new = [w for w in words if w not in known]
+        older = self.older.get(before, {})
+        new = []
+        for w in words - known.keys():
+            ids = older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for word, got in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False), strict=True):
@@ -72,7 +83,7 @@ class Encoder:
         split: list[list[str] | None] = []
         for text in texts:
             words = text.split(" ") if self.chunks else None
-            if words and len(words) > 1 and not all(w and not w[0].isspace() for w in words[1:]):
+            if words and _ODD_SPACE.search(text):
                 words = None
             split.append(words)
         self._learn(self.first, {w[0] for w in split if w}, "")
@@ -86,47 +97,41 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id and ids (bytes) of every row's whole text; null text is empty, so it has the end id alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, end_id)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 128):
-                ids = encoder.batch(texts[at : at + 128])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 128), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, ids binary")
+@lru_cache(maxsize=2)
+def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a Python worker, so that what it remembers stays."""
+    return Encoder(tokenizer_path, end_id)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, parts: int | None = None) -> DataFrame:
     """Write the data set and return its manifest: part, n_docs, n_tokens, first_id, width, base.
 
-    Texts are encoded where they are read; only ids are range-partitioned by
-    document.  A part is written under a name of its attempt and then renamed, so
+    Documents are range-partitioned by id and encoded where their part is written.
+    A part is written under a name of its attempt and then renamed, so
     a repeated task leaves the same part.  Repeated ids stay together, in an order
-    fixed by their ids' bytes; an empty table gives an empty manifest.
+    fixed by their texts; an empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
     width = Encoder(tokenizer_path, end_id).dtype.itemsize
-    encoded = encode(docs, tokenizer_path, end_id)
-    ranged = encoded.repartitionByRange(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "ids")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ranged = texts.repartitionByRange(*([parts] if parts else []), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, (fs, root) = context.partitionId(), filesystem(folder)
         temp = f"{root}/.{part}-{context.taskAttemptId()}"
-        docs_seen, offsets, total, out = [], [0], 0, None
+        docs_seen, offsets, total, out, encoder = [], [0], 0, None, encoder_of(tokenizer_path, end_id)
         for batch in batches:
             if out is None:
                 out = fs.open_output_stream(f"{temp}.bin")
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.write(ids)
-                total += len(ids) // width
-                docs_seen.append(NULL_ID if doc is None else doc)
-                offsets.append(total)
+            for at in range(0, batch.num_rows, 128):
+                piece = batch.slice(at, 128)
+                for doc, ids in zip(piece.column(0).to_pylist(), encoder.batch([x or "" for x in piece.column(1).to_pylist()]), strict=True):
+                    out.write(ids)
+                    total += len(ids) // width
+                    docs_seen.append(NULL_ID if doc is None else doc)
+                    offsets.append(total)
         if out is None:
             return
         out.close()
