@@ -147,6 +147,17 @@ class NearDuplicates:
         tried = tried.select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb") - both).alias("either"))
         return tried.filter(100 * F.col("both") >= self.percent * F.col("either")).select("a", "b").distinct()
 
+    def held_by_others(self, members: DataFrame) -> DataFrame:
+        """node and held: how many of its shingles some other member holds, which no intersection with one exceeds.
+
+        The edits of a copy are its own, so the many copies of a group that are too far from the rest drop out by
+        their own count, without being compared."""
+        wanted = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "dup-members")
+        sets = materialize(shingle_sets(bounded_join(self.docs.select("doc_id", "text"), wanted, ["doc_id"]), self.n), "dup-member-sets")
+        posts = sets.select("node", F.explode("shingles").alias("g"))
+        shared = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("g")
+        return materialize(posts.join(shared, "g").groupBy("node").agg(F.count(F.lit(1)).alias("held")), "dup-held")
+
     def links(self, nodes: DataFrame) -> DataFrame:
         lists = materialize(self.lists(nodes), "dup-lists")
         edges, labels, r = None, None, 0
@@ -162,11 +173,14 @@ class NearDuplicates:
                     tops = others.select("v", F.col("top.node").alias("a"), F.col("top.comp").alias("ca"))
                 pairs = at.join(tops, "v").filter("comp <> ca").select("a", F.col("node").alias("b")).distinct()
             else:
-                # All pairs across components that are left, from the members outside each list's most central component.
+                # All pairs across components that the bounds on whole sets leave, from the members outside each list's most central component.
                 tops = open_lists.select("v", F.col("top.comp").alias("ca"))
                 members = materialize(at.join(tops, "v"), "dup-open")
-                few = members.filter("comp <> ca").select("v", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
-                near = (100 * F.least("n", "nx") >= self.percent * F.greatest("n", "nx")) & (F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("ca")) | (F.col("node") < F.col("x")))
+                held = self.held_by_others(members)
+                members = materialize(members.join(held, "node").filter(100 * F.col("held") >= self.percent * F.col("n")), "dup-bounded")
+                few = members.filter("comp <> ca").select("v", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("held").alias("hx"))
+                most = F.least("held", "hx")  # of the pair's intersection
+                near = (100 * most >= self.percent * (F.col("n") + F.col("nx") - most)) & (F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("ca")) | (F.col("node") < F.col("x")))
                 pairs = members.join(few, "v").filter(near).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
             new = materialize(self.verified(pairs, nodes, r <= STAR_ROUNDS), "dup-links")
             if not new.isEmpty():
