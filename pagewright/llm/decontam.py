@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, shingle_set, texts_of, window_hashes, words_of
+from .common import WordHashes, bounded_join, map_batches, materialize, shingle_set, texts_of, window_hashes, words_of
 
 SIGNATURE = 16
 MISS = 1e-6
@@ -122,7 +122,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, n: in
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose doc_id has no contaminated text, with their columns; rows with a null doc_id stay."""
-    from .common import bounded_join, materialize
-
     leaks = materialize(contaminated(docs, benchmark, percent).select("doc_id").distinct(), "leaks")
     return bounded_join(docs, leaks, ["doc_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded_join, materialize, uniform
+from .common import BROADCAST_ROWS, SPACES, bounded_join, free, materialize, uniform
 
 #: Weights by rank of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -113,13 +113,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with the columns of ``docs``.
 
     Rows that repeat an id have one random number and one source, hence the same copies."""
-    plan = materialize(mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct(), "mix-copies")
-    joined = bounded_join_null_safe(docs, plan)
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def bounded_join_null_safe(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Documents with their copies; null ids and sources match each other, empty texts nothing."""
-    small = plan.limit(200_001).count() <= 200_000
+    i, source, copies, n = (free(docs, x) for x in ("mix_id", "mix_source", "mix_copies", "mix_n"))
+    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(source), F.col("copies").alias(copies))
+    plan = materialize(taken.distinct(), "mix-copies")
+    small = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Null ids and sources match each other; texts without words are never taken.
     left = docs.filter(n_words(F.col("text")) > 0)
-    return left.join(F.broadcast(plan) if small else plan, left["doc_id"].eqNullSafe(plan["__id"]) & left["source"].eqNullSafe(plan["__source"]))
+    joined = left.join(F.broadcast(plan) if small else plan, left["doc_id"].cast("long").eqNullSafe(plan[i]) & left["source"].eqNullSafe(plan[source]))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

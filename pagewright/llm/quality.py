@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_batches, materialize, mixed, texts_of, uniform
+from .common import WordHashes, bounded_join, free, map_batches, materialize, mixed, texts_of, uniform
 
 BUCKETS = 1 << 14
 #: Labelled rows of either quality that the target model and the threshold are fitted on.
@@ -195,9 +195,8 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns; rows that repeat a doc_id are kept if one of them is, null ids if one of those is."""
-    from .common import bounded_join
-
-    got = resample(docs, labels, **options).groupBy("doc_id").agg(F.max("kept").alias("__kept"))
-    out = materialize(got.filter("not __kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__id")), "quality-dropped")
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    return bounded_join(named, out, ["__id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = free(docs, "row_id")
+    got = resample(docs, labels, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    out = materialize(got.filter("not kept").select(F.coalesce("doc_id", F.lit(-(2**63))).alias(key)), "quality-dropped")
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    return bounded_join(named, out, [key], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
