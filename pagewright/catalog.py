@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans.queries import QUERIES, SQL, flagship
+
+__all__ = ["flagship", "oracle_sql", "queries"]
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
