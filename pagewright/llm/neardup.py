@@ -147,16 +147,40 @@ class NearDuplicates:
         tried = tried.select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb") - both).alias("either"))
         return tried.filter(100 * F.col("both") >= self.percent * F.col("either")).select("a", "b").distinct()
 
-    def held_by_others(self, members: DataFrame) -> DataFrame:
-        """node and held: how many of its shingles some other member holds, which no intersection with one exceeds.
-
-        The edits of a copy are its own, so the many copies of a group that are too far from the rest drop out by
-        their own count, without being compared."""
-        wanted = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "dup-members")
-        sets = materialize(shingle_sets(bounded_join(self.docs.select("doc_id", "text"), wanted, ["doc_id"]), self.n), "dup-member-sets")
-        posts = sets.select("node", F.explode("shingles").alias("g"))
-        shared = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("g")
-        return materialize(posts.join(shared, "g").groupBy("node").agg(F.count(F.lit(1)).alias("held")), "dup-held")
+    def bounded_pairs(self, members: DataFrame) -> DataFrame:
+        """(a, b) across components, among the members of lists with one leader, that whole sets may still link.
+
+        A member's set falls into what it shares with the leader (i shingles) and the rest, its own edits.  Two members
+        share at most the lesser i, and shingles of both rests.  So they reach the threshold either by the lesser i
+        alone, or with common shingles of their rests, which an exact prefix filter finds (rarest first; a member whose
+        i falls short needs as many common ones more).  Copies that differ from their leader in edits of their own
+        meet nobody, however many they are.
+        """
+        group = materialize(members.select(F.col("a").alias("leader"), "node", "n", "comp", "ca").distinct(), "dup-members")
+        wanted = materialize(group.select(F.col("node").alias("doc_id")).distinct(), "dup-wanted")
+        sets = materialize(shingle_sets(bounded_join(self.docs.select("doc_id", "text"), wanted, ["doc_id"]), self.n), "dup-sets")
+        if sets.count() != wanted.count():  # rows that repeat an id: their union bounds each of them
+            sets = materialize(sets.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("shingles"))).alias("shingles")), "dup-sets")
+        leaders = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("of"))
+        split = group.join(sets, "node").join(leaders, "leader").select("leader", "node", "n", "comp", "ca", F.size(F.array_intersect("shingles", "of")).alias("i"), F.array_except("shingles", "of").alias("rest"))
+        split = materialize(split, "dup-split")
+        p = self.percent
+        other = lambda df, *more: df.select("leader", *more, F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.col("i").alias("ix"))
+        across = (F.col("comp") != F.col("cx")) & (100 * F.least("n", "nx") >= p * F.greatest("n", "nx"))
+        near = split.drop("rest").filter(100 * F.col("i") >= p * F.col("n"))
+        least = F.least("i", "ix")
+        outside = (F.col("comp") == F.col("ca")) | (F.col("node") < F.col("x"))
+        one = near.join(other(near.filter("comp <> ca")), "leader").filter(across & outside & (100 * least >= p * (F.col("n") + F.col("nx") - least)))
+        own = split.select("leader", "node", "n", "comp", "i", F.explode("rest").alias("g"))
+        df = own.groupBy("leader", "g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        shared = own.join(df, ["leader", "g"]).groupBy("leader", "node", "n", "comp", "i").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+        needed = F.greatest(F.ceil(F.col("n") * p / 100) - F.col("i"), F.lit(1)).cast("int")
+        prefix = F.size("gs") - needed + 1
+        picked = shared.filter(prefix > 0).withColumn("gs", F.slice("gs", F.lit(1), F.greatest(prefix, F.lit(1))))
+        picked = materialize(picked.select("leader", "node", "n", "comp", "i", F.explode("gs.g").alias("g")), "dup-rests")
+        two = picked.join(other(picked, "g"), ["leader", "g"]).filter(across & (F.col("node") < F.col("x")))
+        pair = lambda d: d.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
+        return pair(one).union(pair(two)).distinct()
 
     def links(self, nodes: DataFrame) -> DataFrame:
         lists = materialize(self.lists(nodes), "dup-lists")
@@ -173,15 +197,9 @@ class NearDuplicates:
                     tops = others.select("v", F.col("top.node").alias("a"), F.col("top.comp").alias("ca"))
                 pairs = at.join(tops, "v").filter("comp <> ca").select("a", F.col("node").alias("b")).distinct()
             else:
-                # All pairs across components that the bounds on whole sets leave, from the members outside each list's most central component.
-                tops = open_lists.select("v", F.col("top.comp").alias("ca"))
-                members = materialize(at.join(tops, "v"), "dup-open")
-                held = self.held_by_others(members)
-                members = materialize(members.join(held, "node").filter(100 * F.col("held") >= self.percent * F.col("n")), "dup-bounded")
-                few = members.filter("comp <> ca").select("v", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("held").alias("hx"))
-                most = F.least("held", "hx")  # of the pair's intersection
-                near = (100 * most >= self.percent * (F.col("n") + F.col("nx") - most)) & (F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("ca")) | (F.col("node") < F.col("x")))
-                pairs = members.join(few, "v").filter(near).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+                # What is left across components, as far as bounds on whole sets allow.
+                tops = open_lists.select("v", F.col("top.node").alias("a"), F.col("top.comp").alias("ca"))
+                pairs = self.bounded_pairs(at.join(tops, "v"))
             new = materialize(self.verified(pairs, nodes, r <= STAR_ROUNDS), "dup-links")
             if not new.isEmpty():
                 edges = new if edges is None else edges.union(new)

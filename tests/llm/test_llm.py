@@ -196,5 +196,5 @@ def test_salvage_after_damage(packed):
     assert got == ["<r0>", "<r1>", "<r3>", "<r4>"]
     assert [(g.start, g.end) for g in outcome.gaps] == [(starts[2], starts[3])]
     outcome = warc.Outcome()
-    assert len(list(warc.read_archive(b"junk" + bytes(data[: starts[2]]) + data[starts[4] : -3], outcome))) == 2
-    assert [(g.start, g.end) for g in outcome.gaps] == [(0, 4), (4 + starts[2], 4 + starts[2] + len(pieces[4]) - 3)]
+    assert len(list(warc.read_archive(b"junk\n" + bytes(data[: starts[2]]) + data[starts[4] : -3], outcome))) == 2
+    assert [(g.start, g.end) for g in outcome.gaps] == [(0, 5), (5 + starts[2], 5 + starts[2] + len(pieces[4]) - 3)]
