@@ -13,7 +13,7 @@
    on the whole sets, and verified links merge components.  Lists whose members
    are all in one component are done, so a large group costs a few links for each
    member and not a pair for each two.  What is left after the rounds is compared
-   across components, pair by pair.
+   across components, where exact bounds on whole sets leave a pair possible.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from .common import WordHashes, bounded_join, map_batches, materialize, shingle_
 
 SKETCH = 32
 MISS = 1e-6
-#: Rounds in which list members meet the list's most central nodes.
+#: Rounds in which list members meet the list's most central node; in the last one, whole sets say which that is.
 STAR_ROUNDS = 2
 
 
@@ -128,12 +128,12 @@ class NearDuplicates:
         return picked.select("node", "n", "central", F.explode("vs").alias("x")).select("node", "n", "central", F.col("x.v").alias("v"))
 
     def verified(self, pairs: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-        """The pairs (a, b) that reach the threshold on whole sets; with ``best``, of each b's candidates the best estimate alone is tried."""
+        """The pairs (a, b) that reach the threshold on whole sets; with ``best``, of each b's candidates two are tried: the best estimate, and the most central one (w)."""
         side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
         found = pairs.join(side("b"), "b").join(side("a"), "a").withColumn("e", estimate(F.col("sa"), F.col("sb"), self.k))
-        found = found.filter(F.col("e") >= self.floor).filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b", "e")
+        found = found.filter(F.col("e") >= self.floor).filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         if best:
-            found = found.groupBy("b").agg(F.max(F.struct("e", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+            found = found.groupBy("b").agg(F.array(F.max(F.struct("e", "a"))["a"], F.max(F.struct("w", "a"))["a"]).alias("x")).select(F.explode("x").alias("a"), "b")
         found = materialize(found.select("a", "b").distinct(), "dup-candidates")
         if found.isEmpty():
             return found
@@ -147,41 +147,64 @@ class NearDuplicates:
         tried = tried.select("a", "b", both.alias("both"), (F.size("fa") + F.size("fb") - both).alias("either"))
         return tried.filter(100 * F.col("both") >= self.percent * F.col("either")).select("a", "b").distinct()
 
-    def held_by_others(self, members: DataFrame) -> DataFrame:
-        """node and held: how many of its shingles some other member holds, which no intersection with one exceeds.
-
-        The edits of a copy are its own, so the many copies of a group that are too far from the rest drop out by
-        their own count, without being compared."""
+    def postings(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """node, cls, size, g: the members' whole sets; and g, df: the shingles that two sets or more hold."""
         wanted = materialize(members.select(F.col("node").alias("doc_id")).distinct(), "dup-members")
-        sets = materialize(shingle_sets(bounded_join(self.docs.select("doc_id", "text"), wanted, ["doc_id"]), self.n), "dup-member-sets")
-        posts = sets.select("node", F.explode("shingles").alias("g"))
-        shared = posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("g")
-        return materialize(posts.join(shared, "g").groupBy("node").agg(F.count(F.lit(1)).alias("held")), "dup-held")
+        sets = shingle_sets(bounded_join(self.docs.select("doc_id", "text"), wanted, ["doc_id"]), self.n)
+        sets = materialize(sets.withColumn("size", F.size("shingles")).withColumn("cls", F.xxhash64("shingles")), "dup-member-sets")
+        posts = sets.select("node", "cls", "size", F.explode("shingles").alias("g"))
+        return posts, posts.groupBy("g").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+
+    def weighed(self, at: DataFrame, open_lists: DataFrame) -> DataFrame:
+        """The members of open lists, with the centrality of their whole sets for that of their sketches, in which a
+        group's centre and copies with few edits are the same."""
+        at = materialize(at.join(open_lists.select("v"), "v", "left_semi"), "dup-open")
+        posts, shared = self.postings(at)
+        whole = posts.join(shared, "g").groupBy("node").agg(F.sum(F.least("df", F.lit(1_000_000))).alias("whole"))
+        return at.drop("central").join(materialize(whole, "dup-whole"), "node", "left").withColumn("central", F.coalesce("whole", F.lit(0)))
+
+    def bounded_pairs(self, members: DataFrame) -> DataFrame:
+        """a, b: the pairs of list members across components that can still reach the threshold, by bounds on whole sets.
+
+        ``members`` has v, node, n, comp, and ca, the component of the list's most central node; one of a pair is
+        outside ca.  Shingles are put in one order, the rarest among the members first.  If the first shingle that two
+        sets share stands at i in one and at j in the other, they have at most ``min(n - i, m - j)`` in common, so only
+        the rare end of each set is compared.  A copy's own edits come first in its order: copies with edits of their
+        own meet those with like edits, and not the rest of their group."""
+        p, (posts, shared) = self.percent, self.postings(members)
+        ends = posts.join(shared, "g").groupBy("node", "cls", "size").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))
+        ends = ends.select("node", "size", (F.col("size") - F.size("gs")).alias("alone"), F.posexplode("gs").alias("at", "x"))
+        # Of what it has, a set shares p percent at least.
+        ends = ends.withColumn("left", F.col("size") - F.col("alone") - F.col("at")).filter(100 * F.col("left") >= p * F.col("size"))
+        ends = ends.select("node", "size", "left", F.col("x.g").alias("g")).join(members.select("node", "comp").distinct(), "node")
+        ends = materialize(ends, "dup-ends")
+        one = ends.join(members.filter("comp <> ca").select("node").distinct(), "node", "left_semi")
+        one = one.select("g", F.col("node").alias("x"), F.col("size").alias("nx"), F.col("left").alias("lx"), F.col("comp").alias("cx"))
+        near = (F.col("comp") != F.col("cx")) & ((100 + p) * F.least("left", "lx") >= p * (F.col("size") + F.col("nx")))
+        return one.join(ends, "g").filter(near).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
     def links(self, nodes: DataFrame) -> DataFrame:
         lists = materialize(self.lists(nodes), "dup-lists")
+        tops_of = lambda at: at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("central", "n", "node", "comp")).alias("top")).filter("lo <> hi")
         edges, labels, r = None, None, 0
         while True:
             at = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_lists = at.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("central", "n", "node", "comp")).alias("top")).filter("lo <> hi")
+            open_lists = tops_of(at)
             r += 1
+            if r == STAR_ROUNDS:
+                at = materialize(self.weighed(at, open_lists), "dup-weighed")
+                open_lists = tops_of(at)
             if r <= STAR_ROUNDS:
-                # Members of another component than the list's most central node are tried against it, or else it against the best of them.
-                tops = open_lists.select("v", F.col("top.node").alias("a"), F.col("top.comp").alias("ca"))
-                if r > 1:
-                    others = at.join(tops, "v").filter("comp <> ca").groupBy("v").agg(F.max(F.struct("central", "n", "node", "comp")).alias("top"))
-                    tops = others.select("v", F.col("top.node").alias("a"), F.col("top.comp").alias("ca"))
-                pairs = at.join(tops, "v").filter("comp <> ca").select("a", F.col("node").alias("b")).distinct()
+                # Members of another component than the list's most central node are tried against it: first by sketches, then by whole sets.
+                tops = open_lists.select("v", F.col("top.node").alias("a"), F.col("top.central").alias("w"), F.col("top.comp").alias("ca"))
+                pairs = at.join(tops, "v").filter("comp <> ca").select("a", "w", F.col("node").alias("b")).distinct()
             else:
-                # All pairs across components that the bounds on whole sets leave, from the members outside each list's most central component.
+                # All pairs across components that the bounds on whole sets leave.
                 tops = open_lists.select("v", F.col("top.comp").alias("ca"))
                 members = materialize(at.join(tops, "v"), "dup-open")
-                held = self.held_by_others(members)
-                members = materialize(members.join(held, "node").filter(100 * F.col("held") >= self.percent * F.col("n")), "dup-bounded")
-                few = members.filter("comp <> ca").select("v", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("held").alias("hx"))
-                most = F.least("held", "hx")  # of the pair's intersection
-                near = (100 * most >= self.percent * (F.col("n") + F.col("nx") - most)) & (F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("ca")) | (F.col("node") < F.col("x")))
-                pairs = members.join(few, "v").filter(near).select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
+                if members.isEmpty():
+                    return labels
+                pairs = self.bounded_pairs(members)
             new = materialize(self.verified(pairs, nodes, r <= STAR_ROUNDS), "dup-links")
             if not new.isEmpty():
                 edges = new if edges is None else edges.union(new)

@@ -63,6 +63,29 @@ def test_leaks(docs, bench):
     assert got == {(d, 1, n, n) for d in (1, 2, 3, 4, None, 11)} | {(8, 4, 1, 1)}
 
 
+def test_near_duplicates_through_shared_edits(spark):
+    """Chains of copies that are far from the group's centre and linked by edits they share."""
+    words = [f"c{i}" for i in range(100)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 160):
+        edited = list(words)
+        for j in range(i % 8):
+            edited[(7 + 13 * j + 5 * (i % 3)) % 100] = f"e{j}" if i % 5 else f"own{i}-{j}"
+        if i % 11 == 0:
+            edited = edited[: 88 + i % 7]
+        rows.append((i, " ".join(edited)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    of = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and of[a] != of[b]:
+                low, high = sorted((of[a], of[b]))
+                of = {k: low if v == high else v for k, v in of.items()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
+    assert len(set(of.values())) > 3 and got == of
+
+
 def test_signature_hits_are_exact_for_short_items():
     assert decontam.hits_needed(10, 80) == 8 and decontam.hits_needed(1, 80) == 1
     assert 1 <= decontam.hits_needed(400, 80) < 12
