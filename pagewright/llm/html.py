@@ -2,15 +2,17 @@
 
 Pages of a host are merged into one tree.  An element node is the path of tags
 and classes from the root; under it stand the presentation styles that pages
-show there (the sequence of children) and the contents.  A node's importance is
-an entropy in units of the largest that its pages could give: near 1 where
-every page shows something else, near 0 where a site repeats itself.  A node
-that few pages of its host have is judged with the tree of all hosts.
-
-From each page the branches that are noise by their own markup (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, reader comments) and the
-low-importance branches go.  Where a page marks its article, that branch is
-the text, and the tree judges what lies outside it no more.
+show there (the sequence of children) and the contents (the node's own texts;
+those of its children are theirs).  A node's importance is an entropy in units
+of the largest that its pages could give: near 1 where every page shows
+something else, near 0 where a site repeats itself.  A node that few pages of
+its host have is judged with the tree of all hosts.
+
+From each page the texts of low-importance nodes go, inside and outside of what
+a page marks as its article, and so do the branches that are noise by their own
+markup (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+reader comments).  A node's verdict is about its own texts alone, so a node that
+a site repeats takes nothing of its children away.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 NOISE_TAGS = frozenset("nav header footer aside form script style noscript template head iframe object svg canvas button select textarea input menu dialog title xmp noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split())
-MAIN_TAGS = frozenset(("article", "main"))
+#: Without a class, these are part of the text around them and no nodes of their own.
+PHRASES = frozenset("abbr b bdi bdo cite code dfn em i kbd mark q s samp small span strong sub sup u var".split())
 NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 #: Elements that close an open <p>, and what an element of a list or table closes.
@@ -50,12 +53,12 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: path hash, noise verdict by markup, and its place among its page's events."""
+    """An element: path hash, noise verdict by markup, and the node (itself, but for phrases) that its children and texts belong to."""
 
-    __slots__ = ("tag", "path", "noise", "main", "children", "texts")
+    __slots__ = ("tag", "path", "noise", "owner", "children", "texts")
 
-    def __init__(self, tag: str, path: int, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag: str, path: int, noise: bool, owner: Node | None = None):
+        self.tag, self.path, self.noise, self.owner = tag, path, noise, owner or self
         self.children: list[str] = []
         self.texts: list[str] = []
 
@@ -82,7 +85,7 @@ def parse(page: str) -> Iterator[tuple[str, object]]:
     Wrong markup is repaired as browsers do in the common cases: unclosed <p>,
     <li> and table cells end where a sibling starts, stray end tags are skipped,
     what is open at the end is closed there."""
-    stack = [Node("", 0, False, False)]
+    stack = [Node("", 0, False)]
     at, raw = 0, None
 
     def close_to(depth: int) -> Iterator[tuple[str, object]]:
@@ -139,9 +142,12 @@ def parse(page: str) -> Iterator[tuple[str, object]]:
             continue
         classes, noise = _classes(m.group(3))
         parent = stack[-1]
-        parent.children.append(f"{tag}.{classes}")
-        path = xxhash.xxh3_64_intdigest(f"{parent.path}/{tag}.{classes}".encode("utf-8", "replace")) >> 1
-        node = Node(tag, path, parent.noise or noise or tag in NOISE_TAGS, parent.main or (tag in MAIN_TAGS and not noise))
+        if tag in PHRASES and not classes and not noise:
+            node = Node(tag, parent.path, parent.noise, parent.owner)
+        else:
+            parent.owner.children.append(f"{tag}.{classes}")
+            path = xxhash.xxh3_64_intdigest(f"{parent.path}/{tag}.{classes}".encode("utf-8", "replace")) >> 1
+            node = Node(tag, path, parent.noise or noise or tag in NOISE_TAGS)
         yield "open", node
         if m.group(3).rstrip().endswith("/") and tag in ("svg", "iframe", "script", "template"):
             yield "close", node
@@ -153,7 +159,7 @@ def parse(page: str) -> Iterator[tuple[str, object]]:
 
 
 def tree_rows(page: str) -> list[tuple[int, int, int]]:
-    """(path, presentation, content) of each path of a page: hashes of the children that it shows there and of its own text."""
+    """(path, presentation, content) of each path of a page that has texts of its own: hashes of the children that it shows there and of those texts."""
     shown: dict[int, tuple[list[str], list[str]]] = {}
     stack: list[Node] = []
     for kind, x in parse(page):
@@ -161,15 +167,14 @@ def tree_rows(page: str) -> list[tuple[int, int, int]]:
             stack.append(x)
         elif kind == "close":
             stack.pop()
-            if not x.noise:
+            if x.owner is x and not x.noise:
                 styles, texts = shown.setdefault(x.path, ([], []))
                 styles.append(",".join(x.children))
                 texts.extend(x.texts)
         elif kind == "text" and stack and not stack[-1].noise and not x.isspace():
-            for node in stack:
-                node.texts.append(x)
+            stack[-1].owner.texts.append(x)
     digest = lambda x: xxhash.xxh3_64_intdigest("\x00".join(x).encode("utf-8", "replace")) >> 1
-    return [(path, digest(a), digest(b)) for path, (a, b) in shown.items()]
+    return [(path, digest(a), digest(b)) for path, (a, b) in shown.items() if b]
 
 
 def host_of(url):
@@ -205,10 +210,7 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def extract(page: str, dull: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's text without noise by markup and without the branches whose path is in ``dull``.
-
-    With an article or main element, its text alone."""
-    only_main = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
+    """The page's text without noise by markup and without the own texts of the nodes whose path is in ``dull``."""
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -218,24 +220,20 @@ def extract(page: str, dull: frozenset[int] | set[int] = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    stack: list[tuple[Node, bool]] = []
-    open_ok = not only_main
+    stack = [True]
     for kind, x in parse(page):
         if kind == "open":
             if x.tag in BLOCKS:
                 cut()
-            before = stack[-1][1] if stack else True
-            stack.append((x, before and not x.noise and (x.main or x.path not in dull)))
-            open_ok = stack[-1][1] and (x.main or not only_main)
+            stack.append(not x.noise and x.path not in dull)
         elif kind == "close":
             if x.tag in BLOCKS:
                 cut()
             stack.pop()
-            open_ok = (stack[-1][1] and (stack[-1][0].main or not only_main)) if stack else not only_main
         elif kind == "text":
-            if open_ok:
+            if stack[-1]:
                 parts.append(x)
-        elif open_ok:
+        elif stack[-1]:
             if x == "hr":
                 cut()
             elif x == "br":

@@ -199,6 +199,11 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert {r["text"] for r in html.main_text(pages(spark, rows)).collect()} == {f"Story number {i}" for i in range(30)}
 
 
+def test_style_tree_judges_inside_and_outside_the_article(spark):
+    rows = [(i, f"http://a.example/{i}", f"<body><div class=lead>Lead {i}</div><article><p>Story <b>number</b> {i}</p><div class=box>Tell your friends</div></article><div class=x>Same words here</div>") for i in range(30)]
+    assert {r["text"] for r in html.main_text(pages(spark, rows)).collect()} == {f"Lead {i}\nStory number {i}" for i in range(30)}
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/ b", big), (2, "http://a", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (None, "u", big)]
