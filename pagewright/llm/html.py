@@ -5,8 +5,9 @@ and classes from the root; under it stand the presentation styles that pages
 show there (the sequence of children) and the contents (the node's own texts;
 those of its children are theirs).  A node's importance is an entropy in units
 of the largest that its pages could give: near 1 where every page shows
-something else, near 0 where a site repeats itself.  A node that few pages of
-its host have is judged with the tree of all hosts.
+something else, near 0 where a site repeats itself.  Pages of which the tree
+would hold the same count once (for their host, and in the tree of all hosts).
+A node that few pages of its host have is judged with the tree of all hosts.
 
 From each page the texts of low-importance nodes go, inside and outside of what
 a page marks as its article, and so do the branches that are noise by their own
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, map_batches, materialize
 
-#: Pages of a host from which its own tree decides; with fewer, the tree of all hosts does.
+#: Distinct pages of a host from which its own tree decides; with fewer, the tree of all hosts does.
 MIN_PAGES = 8
 LEAST_IMPORTANCE = 0.5
 #: How much of a node's importance is its presentation's.
@@ -184,24 +185,27 @@ def host_of(url):
 def importance(pages: DataFrame) -> DataFrame:
     """host ('' for the tree of all hosts), path, pages and importance of each node of the merged trees.
 
-    Counts are summed in two steps, by style and by node, so a large host is no
-    single group."""
+    Counts are of distinct pages (by a hash of what the tree would hold of them) and
+    summed in two steps, by style and by node, so a large host is no single group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(host, *x) for x in tree_rows(page or "")]
+                shown = sorted(tree_rows(page or ""))
+                same = xxhash.xxh3_64_intdigest(repr(shown).encode()) >> 1
+                rows += [(host, same, *x) for x in shown]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "path", "style", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "same", "path", "style", "content"])
 
-    nodes = materialize(map_batches(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")), run, "host string, path long, style long, content long"), "style-nodes")
+    nodes = map_batches(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")), run, "host string, same long, path long, style long, content long")
+    nodes = materialize(nodes.distinct(), "style-nodes")
+    every = nodes.drop("host").distinct().withColumn("host", F.lit(""))
+    nodes = materialize(nodes.filter("host <> ''").unionByName(every), "style-distinct")
 
     def entropies(column: str) -> DataFrame:
         one = nodes.groupBy("host", "path", F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("c"))
-        every = one.groupBy("path", "x").agg(F.sum("c").alias("c")).select(F.lit("").alias("host"), "path", "x", "c")
-        both = one.filter("host <> ''").unionByName(every)
-        sums = both.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+        sums = one.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
         # Entropy of the shares c / m, by log m.
         return sums.select("host", "path", "m", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias(column))
 
@@ -246,7 +250,7 @@ def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE, min_pages: int
     """page_id, url, text and n_chars of each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Null or empty html gives an empty text.  A page whose url has no host, or
-    whose host has few pages, is judged with the tree of all hosts.  Repeated rows
+    whose host has few distinct pages, is judged with the tree of all hosts.  Repeated rows
     give repeated results; an empty table gives an empty one.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

@@ -204,6 +204,12 @@ def test_style_tree_judges_inside_and_outside_the_article(spark):
     assert {r["text"] for r in html.main_text(pages(spark, rows)).collect()} == {f"Lead {i}\nStory number {i}" for i in range(30)}
 
 
+def test_style_tree_keeps_the_distinct_pages_among_copies(spark):
+    story = lambda n: f"<html><body><div><article><p>Story number {n}</p></article></div><div class=x>Same words here</div></body></html>"
+    rows = [(i, "http://a.example/" if i < 320 else f"http://small{i}.example/", story(0 if i % 320 < 170 else i)) for i in range(640)]
+    assert {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows)).collect()} == {i: f"Story number {0 if i % 320 < 170 else i}" for i in range(640)}
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/ b", big), (2, "http://a", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (None, "u", big)]
