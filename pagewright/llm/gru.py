@@ -17,8 +17,6 @@ import numpy as np
 LANES, STEPS = 256, 16
 #: Tokens of a text that training keeps in one lane.
 SEGMENT = 512
-#: Of so many windows, one (drawn at random) is backpropagated; the state is carried through all of them.
-TRAINED_OF = 2
 
 
 def pack(docs: list[np.ndarray], lanes: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -224,19 +222,16 @@ def windows(packed: tuple, steps: int = STEPS) -> Iterator[tuple[int, np.ndarray
         yield active, inputs[at : at + steps, :active], targets[at : at + steps, :active], numbers[at : at + steps, :active]
 
 
-def train(model: Model, optimizer: Adam, docs: list[np.ndarray], rng: np.random.Generator) -> int:
-    """One pass over ``docs``; returns the number of tokens.  Few tokens go in fewer lanes, so that they make about 50 windows at least."""
+def train(model: Model, optimizer: Adam, docs: list[np.ndarray]) -> int:
+    """One pass over ``docs``, every window backpropagated; returns the number of tokens.  Few tokens go in fewer lanes, so that they make about 50 windows at least."""
     h, seen = None, 0
     lanes = int(np.clip(sum(map(len, docs)) // (50 * STEPS), 8, LANES))
     # A long text in one lane would make many steps of its own: its segments are spread over the lanes.
     parts = [d[at : at + SEGMENT] for d in docs for at in range(0, len(d), SEGMENT)]
     for active, inputs, targets, _ in windows(pack(parts, lanes)):
         h = np.zeros((active, model.h), np.float32) if h is None else h[:active]
-        if rng.integers(TRAINED_OF) == 0:
-            d, h, _ = model.step(inputs, targets, h)
-            optimizer.update(d)
-        else:
-            h = model.recur(model.table(), inputs, h, False)[0][-1]
+        d, h, _ = model.step(inputs, targets, h)
+        optimizer.update(d)
         seen += int(np.count_nonzero(targets >= 0))
     return seen
 

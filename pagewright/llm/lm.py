@@ -35,8 +35,8 @@ RATE = 0.03
 ROUNDS = ((0, 4), (4, 16))
 #: Tokens that are packed into lanes together, and distinct words that a task holds.
 BLOCK_TOKENS, HELD_WORDS = 600_000, 600_000
-#: A block of few tokens is gone through so often at most.
-MOST_PASSES = 3
+#: Times that a block is gone through, whatever its size.
+PASSES = 2
 END = -1
 _MARK, _PAUSE = frozenset(b".!?"), frozenset(b",;:*#$%&\"')")
 
@@ -165,6 +165,13 @@ def _model(statistics: Statistics) -> gru.Model:
     return gru.Model(CLASSES, WORDS, HIDDEN, EMBED, statistics.unigram)
 
 
+def learn(model: gru.Model, optimizer: gru.Adam, ids: list[np.ndarray]) -> int:
+    """Train on a block's documents; returns their tokens."""
+    for _ in range(PASSES):
+        tokens = gru.train(model, optimizer, ids)
+    return tokens
+
+
 def train(docs: DataFrame, statistics: Statistics) -> np.ndarray:
     """Parameters after all rounds; each training document is used in one round, with its whole text."""
     spark = docs.sparkSession
@@ -177,14 +184,10 @@ def train(docs: DataFrame, statistics: Statistics) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:
             own, codes = shared.value, None
             model = _model(own).load(start.value)
-            optimizer, rng, seen = gru.Adam(model, RATE / (1 + r)), np.random.default_rng(r), 0
+            optimizer, seen = gru.Adam(model, RATE / (1 + r)), 0
             codes = Codes(own)
             for _, block in _blocks(batches, codes):
-                ids = [model_ids(d, own) for d in block]
-                tokens = sum(map(len, ids))
-                for _ in range(min(MOST_PASSES, max(1, BLOCK_TOKENS // (2 * tokens)))):
-                    gru.train(model, optimizer, ids, rng)
-                seen += tokens
+                seen += learn(model, optimizer, [model_ids(d, own) for d in block])
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.vector().tobytes()], pa.binary())], ["weight", "vector"])
 

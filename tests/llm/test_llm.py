@@ -176,6 +176,20 @@ def test_language_model_counts_and_base(docs):
         assert abs(r["base_score"] - want[r["doc_id"]][3]) < 1e-6 and r["score"] < 0
 
 
+@pytest.mark.parametrize("n_docs", [3, 400])
+def test_language_model_trains_on_every_window(n_docs):
+    class Counting(lm.gru.Model):
+        trained = 0
+
+        def step(self, inputs, targets, h):
+            self.trained += int(np.count_nonzero(targets >= 0))
+            return super().step(inputs, targets, h)
+
+    model = Counting(4, 4, 2, 2)
+    block = [np.append(np.full(999, 5, np.int32), 0) for _ in range(n_docs)]
+    assert lm.learn(model, lm.gru.Adam(model, 0.01), block) == n_docs * 1000 and model.trained == 2 * n_docs * 1000
+
+
 def test_base_rules_by_brute_force(docs, labels):
     for r in rules.judged(docs, labels).collect():
         text = dict(ROWS)[r["doc_id"]] or ""
