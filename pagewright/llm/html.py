@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, map_batches, materialize
+from .common import BROADCAST_ROWS, bounded_join, map_batches, materialize
 
 #: Distinct pages of a host from which its own tree decides; with fewer, the tree of all hosts does.
 MIN_PAGES = 8
@@ -182,24 +182,29 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host ('' for the tree of all hosts), path, pages and importance of each node of the merged trees.
-
-    Counts are of distinct pages (by a hash of what the tree would hold of them) and
-    summed in two steps, by style and by node, so a large host is no single group."""
+def tree_nodes(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of its html), same (a hash of what the tree would hold of it), path, style and content of each page's nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 shown = sorted(tree_rows(page or ""))
                 same = xxhash.xxh3_64_intdigest(repr(shown).encode()) >> 1
-                rows += [(host, same, *x) for x in shown]
+                rows += [(host, key, same, *x) for x in shown]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "same", "path", "style", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "page", "same", "path", "style", "content"])
+
+    nodes = map_batches(pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html"), run, "host string, page long, same long, path long, style long, content long")
+    return materialize(nodes.distinct(), "style-nodes")
 
-    nodes = map_batches(pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string")), run, "host string, same long, path long, style long, content long")
-    nodes = materialize(nodes.distinct(), "style-nodes")
+
+def importance(nodes: DataFrame) -> DataFrame:
+    """host ('' for the tree of all hosts), path, pages and importance of each node of the merged trees.
+
+    Counts are of distinct pages (of the same host, or in the tree of all hosts of any) and
+    summed in two steps, by style and by node, so a large host is no single group."""
+    nodes = nodes.drop("page").distinct()
     every = nodes.drop("host").distinct().withColumn("host", F.lit(""))
     nodes = materialize(nodes.filter("host <> ''").unionByName(every), "style-distinct")
 
@@ -254,23 +259,30 @@ def main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE, min_pages: int
     give repeated results; an empty table gives an empty one.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    tree = materialize(importance(pages), "style-tree")
+    nodes = tree_nodes(pages)
+    tree = materialize(importance(nodes), "style-tree")
     low = tree.filter(F.col("importance") < least)
     # Low-importance paths of each host: its own where enough pages show them, else those of all hosts.
     own = materialize(low.filter((F.col("host") != "") & (F.col("pages") >= min_pages)).groupBy("host").agg(F.collect_set("path").alias("dull")), "style-dull")
     known = materialize(tree.filter((F.col("host") != "") & (F.col("pages") >= min_pages)).groupBy("host").agg(F.collect_set("path").alias("judged")), "style-judged")
-    every = {r["path"] for r in low.filter((F.col("host") == "") & (F.col("pages") >= min_pages)).orderBy(F.desc("pages"), "path").limit(BROADCAST_ROWS).toLocalIterator()}
-    shared = pages.sparkSession.sparkContext.broadcast(every)
+    every = materialize(low.filter((F.col("host") == "") & (F.col("pages") >= min_pages)).select("path"), "style-every")
+    few = every.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    shared = pages.sparkSession.sparkContext.broadcast({r["path"] for r in every.toLocalIterator()} if few else set())
     verdicts = known.join(own, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, judged, dull in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for page, judged, dull, common in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
                 judged = set(judged or ())
-                texts.append(extract(page or "", set(dull or ()) | (shared.value - judged)))
+                texts.append(extract(page or "", set(dull or ()) | (shared.value - judged) | (set(common or ()) - judged)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     hosts = verdicts.count() <= 20_000
     joined = pages.withColumn("host", host_of(F.col("url"))).join(F.broadcast(verdicts) if hosts else verdicts, "host", "left")
-    return map_batches(joined.select("page_id", "url", "html", "judged", "dull"), run, "page_id long, url string, text string, n_chars long")
+    common = F.lit(None).cast("array<long>")
+    if not few:  # too many to replicate: each page gets those of its own paths
+        found = nodes.select("page", "path").distinct().hint("merge").join(every, "path").groupBy("page").agg(F.collect_list("path").alias("common"))
+        joined = bounded_join(joined.withColumn("page", F.xxhash64("html")), materialize(found, "style-common"), ["page"], "left")
+        common = F.col("common")
+    return map_batches(joined.select("page_id", "url", "html", "judged", "dull", common.alias("common")), run, "page_id long, url string, text string, n_chars long")

@@ -224,6 +224,12 @@ def test_style_tree_keeps_the_distinct_pages_among_copies(spark):
     assert {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows)).collect()} == {i: f"Story number {0 if i % 320 < 170 else i}" for i in range(640)}
 
 
+def test_style_tree_joins_what_it_does_not_broadcast(spark, monkeypatch):
+    rows = [(i, f"http://small{i}.example/", "<body>" + "".join(f"<div class=b{j}>Boilerplate {j}</div>" for j in range(12)) + f"<div class=y>Story number {i}</div>") for i in range(30)]
+    monkeypatch.setattr(html, "BROADCAST_ROWS", 5)
+    assert {r["text"] for r in html.main_text(pages(spark, [*rows, *rows[:3], (None, None, None)])).collect()} == {"", *(f"Story number {i}" for i in range(30))}
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/ b", big), (2, "http://a", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (None, "u", big)]
