@@ -4,11 +4,16 @@ Writing: one gzip member for each record, payloads that occur more than once
 are stored once (the other records are revisits that refer to it).
 
 Reading: a record is taken if its member unpacks with the right checksum, its
-header parses, its block has the promised length and its payload the promised
-digest.  After a failed check the reader searches on from the next byte for the
-next valid gzip member (magic number, trial unpacking, version line) or, in
-plain archives, for the next version line at a line start, and logs the bytes
-in between as a quarantined gap.
+header parses, its block has the promised length and digest and, in responses
+and resources, its payload the promised digest (md5, SHA-1 and SHA-2; revisits
+and segments promise the payload of another record).  After a failed check the
+reader searches on from the next byte for the next valid gzip member (magic
+number, trial unpacking, version line) or, in plain archives and in unpacked
+members, for the next version line at a line start, and logs the bytes in
+between as a quarantined gap.  What a damaged member gives before the damage is
+read too; its checksum proves nothing, so a record of it needs a block digest
+that holds and unpacked bytes behind it.  Headers have no digest.  Of a member
+that unpacks to more than MAX_RECORD bytes, what lies beyond is a gap.
 """
 
 from __future__ import annotations
@@ -69,6 +74,36 @@ def sha1_label(payload: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def digest_holds(promised: str, *blocks: bytes) -> bool | None:
+    """Whether one of ``blocks`` has the promised digest (base32 or hex); None if the algorithm isn't known."""
+    name, _, value = promised.partition(":")
+    if name.lower() not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return None
+    value = value.strip()
+    digests = [hashlib.new(name.lower(), b).digest() for b in blocks]
+    return any(value.lower() == d.hex() or value.upper().rstrip("=") == base64.b32encode(d).decode().rstrip("=") for d in digests)
+
+
+def payloads(headers: dict[str, str], block: bytes) -> list[bytes]:
+    """What a payload digest may be of: the block, or the body of its HTTP message as it is and without chunks."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return [block]
+    close = re.search(rb"\r?\n\r?\n", block)
+    if not close:
+        return [b""]
+    body, out, at = block[close.end() :], [], 0
+    if not re.search(rb"^transfer-encoding:[^\n]*chunked", block[: close.end()], re.I | re.M):
+        return [body]
+    while size := re.compile(rb"([0-9A-Fa-f]{1,15})[^\n]*\n").match(body, at):
+        n = int(size[1], 16)
+        out.append(body[size.end() : size.end() + n])
+        at = size.end() + n
+        at += 2 if body[at : at + 2] == b"\r\n" else 1
+        if not n:
+            break
+    return [body, b"".join(out)]
+
+
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", str(len(block)))])
     return b"WARC/1.1\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -79,8 +114,8 @@ def member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def parse_record(data, at: int, end: int | None = None) -> tuple[Record, int]:
-    """The record at ``at`` of a bytes-like object and the offset behind it; Bad if a check fails."""
+def parse_record(data, at: int, end: int | None = None, proven: bool = False) -> tuple[Record, int]:
+    """The record at ``at`` of a bytes-like object and the offset behind it; Bad if a check fails or, if it is to be ``proven``, no digest could be checked."""
     limit = len(data) if end is None else end
     window = bytes(data[at : min(limit, at + MAX_HEADER)])
     version = VERSION.match(window)
@@ -119,32 +154,67 @@ def parse_record(data, at: int, end: int | None = None) -> tuple[Record, int]:
     if not tail:
         raise Bad("no record end")
     promised = headers.get("warc-block-digest", "")
-    if promised.startswith("sha1:") and promised != sha1_label(payload):
+    holds = digest_holds(promised, payload)
+    if holds is False:
         raise Bad("block digest differs")
+    of_payload = headers.get("warc-payload-digest", "")
+    if headers.get("warc-type", "").lower() in ("response", "resource") and "warc-segment-number" not in headers:
+        bodies = payloads(headers, payload)
+        own = holds if of_payload == promised and len(bodies) == 1 and bodies[0] is payload else digest_holds(of_payload, *bodies)
+        if own is False:
+            raise Bad("payload digest differs")
+    if proven and not holds:  # a payload digest does not cover the HTTP headers
+        raise Bad("damaged member and no block digest")
     return Record(at, headers, payload, window[: version.end()].decode().strip()), stop + tail
 
 
-def unpack_member(data, at: int) -> tuple[bytes, int]:
-    """One gzip member (checksum verified) and the offset behind it."""
-    z, out, pos, size = zlib.decompressobj(31), [], at, 0
-    try:
-        while not z.eof:
-            piece = bytes(data[pos : pos + 65536])
-            if not piece:
-                raise Bad("member cut off")
+def unpack_member(data, at: int) -> tuple[bytes, int, str]:
+    """What one gzip member holds, the offset behind it and ""; of a damaged one, what comes before the damage, its offset and the reason."""
+    z, out, pos, size, step = zlib.decompressobj(31), [], at, 0, 65536
+    while not z.eof:
+        piece = bytes(data[pos : pos + step])
+        if not piece:
+            return b"".join(out), pos, "member cut off"
+        before = z.copy() if step > 1 else None
+        try:
             got = z.decompress(piece)
-            size += len(got)
-            if size > MAX_RECORD:
-                raise Bad("record too long")
-            out.append(got)
-            pos += len(piece)
-    except zlib.error as e:
-        raise Bad(f"member damaged: {str(e)[:40]}") from None
-    return b"".join(out), pos - len(z.unused_data)
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), pos, f"member damaged: {str(e)[:40]}"
+            z, step = before, 1  # byte by byte up to the damage
+            continue
+        size += len(got)
+        if size > MAX_RECORD:
+            return b"".join(out), pos, "record too long"
+        out.append(got)
+        pos += len(piece)
+    return b"".join(out), pos - len(z.unused_data), ""
+
+
+def member_records(plain: bytes, whole: bool) -> tuple[list[Record], list[Gap]]:
+    """Valid records of unpacked bytes and the gaps between them; those of a member that is not whole need a digest that holds."""
+    at, found, gaps = 0, [], []
+    while at < len(plain):
+        try:
+            record, end = parse_record(plain, at, proven=not whole)
+            if not whole and end == len(plain):
+                raise Bad("record at the damage")
+            found.append(record)
+        except Bad as e:
+            end = next_line(plain, at + 1)
+            end = len(plain) if end < 0 else end
+            if gaps and gaps[-1].end == at:
+                gaps[-1].end = end
+            else:
+                gaps.append(Gap(at, end, str(e)))
+        at = end
+    return found, gaps
 
 
 def read_archive(data, outcome: Outcome) -> Iterator[Record]:
-    """Valid records of a bytes-like object (bytes or a memory map) in order; gaps go to ``outcome``."""
+    """Valid records of a bytes-like object (bytes or a memory map) in order; gaps go to ``outcome``.
+
+    A gap inside a member has the member's offsets; its reason names the unpacked bytes."""
     at, size, bad_from, reason = 0, len(data), None, ""
 
     def close_gap(end: int) -> None:
@@ -154,19 +224,18 @@ def read_archive(data, outcome: Outcome) -> Iterator[Record]:
             bad_from = None
 
     while at < size:
+        damage = ""
         try:
             if bytes(data[at : at + 3]) == MAGIC:
-                plain, end = unpack_member(data, at)
-                inner, found = 0, []
-                while inner < len(plain):
-                    record, inner = parse_record(plain, inner)
-                    record.offset = at
-                    found.append(record)
+                plain, end, damage = unpack_member(data, at)
+                found, inner = member_records(plain, not damage)
                 if not found:
-                    raise Bad("empty member")
+                    raise Bad(damage or (inner[0].reason if inner else "empty member"))
+                for record in found:
+                    record.offset = at
             elif VERSION.match(bytes(data[at : at + 16])):
                 record, end = parse_record(data, at)
-                found = [record]
+                found, inner = [record], []
             else:
                 raise Bad("neither a member nor a version line")
         except Bad as e:
@@ -175,23 +244,32 @@ def read_archive(data, outcome: Outcome) -> Iterator[Record]:
             at = next_start(data, at + 1)
             continue
         close_gap(at)
+        outcome.gaps += [Gap(at, end, f"{g.reason}; unpacked bytes {g.start} to {g.end}") for g in inner]
         for record in found:
             outcome.records += 1
             yield record
         at = end
+        if damage:
+            bad_from, reason = at, damage
+            at = next_start(data, at)
     close_gap(size)
 
 
+def next_line(data, at: int, stop: int = -1) -> int:
+    """The next offset from ``at`` on of a version line at a line start; -1 if there is none (before ``stop``, where that is given)."""
+    line_at = data.find(b"WARC/", at)
+    while line_at >= 0 and not ((line_at == 0 or data[line_at - 1 : line_at] == b"\n") and VERSION.match(bytes(data[line_at : line_at + 16]))):
+        line_at = data.find(b"WARC/", line_at + 1)
+        if 0 <= stop < line_at:
+            return -1
+    return line_at
+
+
 def next_start(data, at: int) -> int:
     """The next offset from ``at`` on where a gzip member or, at a line start, a version line may begin; the length if there is none."""
-    size = len(data)
-    member_at, line_at = data.find(MAGIC, at), data.find(b"WARC/", at)
-    while line_at >= 0 and not (line_at == 0 or data[line_at - 1 : line_at] == b"\n") or line_at >= 0 and not VERSION.match(bytes(data[line_at : line_at + 16])):
-        line_at = data.find(b"WARC/", line_at + 1)
-        if 0 <= member_at < line_at:
-            break
-    found = [x for x in (member_at, line_at) if x >= 0]
-    return min(found, default=size)
+    member_at = data.find(MAGIC, at)
+    found = [x for x in (member_at, next_line(data, at, member_at)) if x >= 0]
+    return min(found, default=len(data))
 
 
 def open_archive(path: str):

@@ -238,6 +238,41 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, rows).limit(0)).count() == 0
 
 
+def responses(n):
+    """Records whose blocks do not compress well, so that a damage hits one of them."""
+    rng = np.random.default_rng(7)
+    bodies = [rng.integers(33, 127, 3000).astype(np.uint8).tobytes() for _ in range(n)]
+    return [warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<r{i}>"), ("WARC-Block-Digest", warc.sha1_label(b))], b) for i, b in enumerate(bodies)]
+
+
+@pytest.mark.parametrize("bad", ["block", "header", "stream"])
+def test_salvage_inside_a_member(bad):
+    records = responses(6)
+    if bad == "block":
+        records[2] = records[2][:-9] + b"~~~~~" + records[2][-4:]
+    elif bad == "header":
+        records[2] = records[2].replace(b"Content-Length", b"Content-Wrong!")
+    packed = bytearray(warc.member(b"".join(records)))
+    if bad == "stream":
+        packed[len(packed) * 7 // 12] ^= 0xFF
+    outcome = warc.Outcome()
+    got = [r.headers["warc-record-id"] for r in warc.read_archive(bytes(packed) + warc.member(responses(8)[7]), outcome)]
+    assert got[:2] == ["<r0>", "<r1>"] and got[-1] == "<r7>" and outcome.gaps and outcome.records == len(got)
+    if bad != "stream":
+        assert got == ["<r0>", "<r1>", "<r3>", "<r4>", "<r5>", "<r7>"]
+        a, b = (sum(map(len, records[:k])) for k in (2, 3))
+        assert [(g.start, g.end) for g in outcome.gaps] == [(0, len(packed))] and outcome.gaps[0].reason.endswith(f"unpacked bytes {a} to {b}")
+
+
+def test_payload_digests_are_checked():
+    http, body = b"HTTP/1.1 200 OK\r\nA: b\r\n", b"some body"
+    chunked = http + b"Transfer-Encoding: chunked\r\n\r\n4\r\nsome\r\n5\r\n body\r\n0\r\n\r\n"
+    for kind, content, block, right in (("response", "text/html", body, True), ("response", "text/html", b"some bodY", False), ("response", "application/http", http + b"\r\n" + body, True), ("response", "application/http; msgtype=response", http + b"\r\nsome bodY", False), ("response", "application/http", chunked, True), ("revisit", "text/html", b"", True)):
+        record = warc.record_bytes([("WARC-Type", kind), ("Content-Type", content), ("WARC-Payload-Digest", warc.sha1_label(body))], block)
+        outcome = warc.Outcome()
+        assert len(list(warc.read_archive(record, outcome))) == right and bool(outcome.gaps) != right
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_after_damage(packed):
     records = [warc.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<r{i}>"), ("WARC-Block-Digest", warc.sha1_label(b"body %d" % i))], b"body %d" % i) for i in range(5)]
