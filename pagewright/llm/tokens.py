@@ -1,11 +1,12 @@
 """Token-ID output: flat unsigned-integer files with 64-bit document offsets.
 
-A data set is a folder of parts and a manifest.  Part ``p`` holds
-``p.bin`` (ids, little-endian uint16, or uint32 for larger vocabularies),
-``p.off`` (n + 1 little-endian int64 offsets in ids, from 0) and ``p.doc`` (n
-int64 document ids, the least int64 standing for null).  The manifest gives
-each part's base: the number of ids in all parts before it, a prefix sum over
-the parts' totals.  Documents ascend by id over the parts.
+A data set is a folder of parts and a manifest.  A part's files have one stem:
+``.bin`` (ids, little-endian uint16, or uint32 for larger vocabularies),
+``.off`` (n + 1 little-endian int64 offsets in ids, from 0) and ``.doc`` (n
+int64 document ids).  The manifest gives each part's stem, how many of its
+documents have no id (they are its first), and its base: the number of ids in
+all parts before it, a prefix sum over the parts' totals.  Documents ascend by
+id over the parts.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, scratch
 
-NULL_ID = -(2**63)
-#: Words whose ids a Python worker remembers: so many new ones, and as many that it knew before those.
-CACHE_WORDS = 250_000
+#: Words whose ids a task remembers: so many new ones, and as many that it knew before those.
+CACHE_WORDS = 120_000
+#: Characters of text that are encoded together.
+SLICE_CHARS = 2_000_000
+#: Letters below this code point (Latin) are letters to every Unicode version.
+LETTERS_END = "\u0250"
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
@@ -43,73 +48,144 @@ class Encoder:
 
     A byte-level pre-tokenizer starts a new piece at each space that stands
     between two non-space characters, so " word" chunks encode independently of
-    each other and their ids can be remembered.  Texts with a space before other
-    white space or at an end go through the tokenizer whole.
+    each other and their ids can be remembered: in two generations of ``cache``
+    words at most, of which the older one goes when the newer one is full.  New
+    words are encoded many in one text.  Texts with a space before other white
+    space or at an end go through the tokenizer whole.
     """
 
     def __init__(self, path: str, end_id: int, cache: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, tokenizer_of(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else np.dtype("<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
-        self.limit, self.first, self.later, self.older = cache, {}, {}, {}
+        self.limit, self.known, self.older = cache, {}, {}
         kind = self.tokenizer.pre_tokenizer
-        self.chunks = type(kind).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not getattr(kind, "add_prefix_space", True)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _learn(self, known: dict, words: set[str], before: str) -> None:
-        if len(known) + len(words) > self.limit and known:
-            self.older[before] = dict(known)
-            known.clear()
-        older = self.older.get(before, {})
-        new = []
-        for w in words - known.keys():
+        plain = type(kind).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not getattr(kind, "add_prefix_space", True) and getattr(kind, "use_regex", False)
+        self.chunks = plain and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.chunks:
+            space = chr(self.byte_letters[ord(" ")])
+            self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each " word"; many words are one text."""
+        return self._parted(self.tokenizer, [" " + " ".join(words[at : at + 64]) for at in range(0, len(words), 64)], words)
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of each " word" of Latin letters alone, which is one piece: the model gets its bytes' letters with no pattern to match."""
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_letters) for w in words]
+        space = chr(self.byte_letters[ord(" ")])
+        return self._parted(pieces_of(self.path), [space + f" {space}".join(shown[at : at + 64]) for at in range(0, len(shown), 64)], words)
+
+    def _parted(self, tokenizer, texts: list[str], words: list[str]) -> list[bytes]:
+        """Ids by word: a word has one space, its first character, so its first id is the only one that opens with a space."""
+        out, size = [], self.dtype.itemsize
+        for got in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(got.ids, self.dtype)
+            row, ends = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * size).tolist()
+            ends.append(len(row))
+            out += [row[a:b] for a, b in pairwise(ends)]
+        return out if len(out) == len(words) else [self.encode(" " + w) for w in words]
+
+    @cached_property
+    def byte_letters(self) -> dict[int, int]:
+        """The letter that stands for each byte in the model: printable bytes for themselves, the others from U+0100 on, in order."""
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.known
+        new = words.difference(known)
+        if len(known) + len(new) > self.limit and known:
+            self.older, self.known, new = known, {}, words
+            known = self.known
+        older, letters, fresh, ended = self.older, [], [], []
+        for w in new:
             ids = older.get(w)
-            if ids is None:
-                new.append(w)
+            if ids is not None:
+                known[w] = ids
+            elif w.isalpha() and (w.isascii() or max(w) < LETTERS_END):
+                letters.append(w)
+            elif w[-1:] in self.marks and w[:-1].isascii() and w[:-1].isalpha():  # the mark is a piece of its own
+                ended.append(w)
             else:
+                fresh.append(w)
+        for w in {w[:-1] for w in ended}.difference(known).difference(letters):
+            ids = older.get(w)
+            if ids is not None:
                 known[w] = ids
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part], add_special_tokens=False), strict=True):
-                known[word] = self._bytes(got.ids)
+            else:
+                letters.append(w)
+        for some, encoded in ((letters, self._letters), (fresh, self._spaced)):
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                known.update(zip(part, encoded(part), strict=True))
+        for w in ended:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
+
+    @cached_property
+    def marks(self) -> dict[str, bytes]:
+        return {x: self.encode(x) for x in ",.!?;:"}
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            words = text.split(" ") if self.chunks else None
-            if words and _ODD_SPACE.search(text):
-                words = None
-            split.append(words)
-        self._learn(self.first, {w[0] for w in split if w}, "")
-        self._learn(self.later, {x for w in split if w for x in w[1:]}, " ")
-        out = []
+        split = [text.split(" ") if self.chunks and not _ODD_SPACE.search(text) else None for text in texts]
+        self._learn(set().union(*(w[1:] for w in split if w)))
+        known, out = self.known, []
         for text, words in zip(texts, split, strict=True):
             if words:
-                out.append(self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:])) + self.end)
+                out.append(self.encode(words[0]) + b"".join(map(known.__getitem__, words[1:])) + self.end)
             else:
-                out.append(self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + self.end)
+                out.append(self.encode(text) + self.end)
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder_of(tokenizer_path: str, end_id: int) -> Encoder:
-    """One encoder for all tasks of a Python worker, so that what it remembers stays."""
-    return Encoder(tokenizer_path, end_id)
+def tokenizer_of(path: str):
+    """One tokenizer for all tasks of a Python worker; it is not changed."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str):
+    """The same model for texts whose pieces are parted by spaces and spelt in the model's letters."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    found = Tokenizer.from_str(tokenizer_of(path).to_str())
+    found.pre_tokenizer = WhitespaceSplit()
+    return found
+
+
+def _slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of a batch's rows, about ``chars`` characters at a time, so that the words of few texts are held at once."""
+    ids, texts, size = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        ids.append(doc)
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= chars:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, parts: int | None = None) -> DataFrame:
-    """Write the data set and return its manifest: part, n_docs, n_tokens, first_id, width, base.
+    """Write the data set and return its manifest: part, stem, n_docs, n_nulls, n_tokens, first_id, width, base.
 
     Documents are range-partitioned by id and encoded where their part is written.
-    A part is written under a name of its attempt and then renamed, so
-    a repeated task leaves the same part.  Repeated ids stay together, in an order
-    fixed by their texts; an empty table gives an empty manifest.
+    A part's files are named by part and attempt, and the manifest names those of
+    the attempt that counted, so a repeated task neither moves nor overwrites a
+    file; what a lost attempt wrote is never read.  Null texts are empty.  Null ids
+    come first; repeated ids stay together, in an order fixed by their texts; an
+    empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     filesystem(folder)[0].create_dir(filesystem(folder)[1], recursive=True)
@@ -120,31 +196,30 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, (fs, root) = context.partitionId(), filesystem(folder)
-        temp = f"{root}/.{part}-{context.taskAttemptId()}"
-        docs_seen, offsets, total, out, encoder = [], [0], 0, None, encoder_of(tokenizer_path, end_id)
+        stem = f"{part}-{context.taskAttemptId()}"
+        docs_seen, offsets, total, nulls, out, encoder = [], [0], 0, 0, None, Encoder(tokenizer_path, end_id)
         for batch in batches:
             if out is None:
-                out = fs.open_output_stream(f"{temp}.bin")
-            for at in range(0, batch.num_rows, 128):
-                piece = batch.slice(at, 128)
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder.batch([x or "" for x in piece.column(1).to_pylist()]), strict=True):
-                    out.write(ids)
-                    total += len(ids) // width
-                    docs_seen.append(NULL_ID if doc is None else doc)
+                out = fs.open_output_stream(f"{root}/{stem}.bin")
+            for ids, some in _slices(batch):
+                nulls += ids.count(None)
+                for doc, row in zip(ids, encoder.batch(some), strict=True):
+                    out.write(row)
+                    total += len(row) // width
+                    docs_seen.append(doc or 0)
                     offsets.append(total)
         if out is None:
             return
         out.close()
         for name, values in (("off", offsets), ("doc", docs_seen)):
-            with fs.open_output_stream(f"{temp}.{name}") as f:
+            with fs.open_output_stream(f"{root}/{stem}.{name}") as f:
                 f.write(np.array(values, "<i8").tobytes())
-        for name in ("bin", "off", "doc"):
-            fs.move(f"{temp}.{name}", f"{root}/{part}.{name}")
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n_docs": pa.array([len(docs_seen)], pa.int64()), "n_tokens": pa.array([total], pa.int64()), "first_id": pa.array([docs_seen[0]], pa.int64()), "width": pa.array([width], pa.int64())})
+        row = {"part": part, "stem": stem, "n_docs": len(docs_seen), "n_nulls": nulls, "n_tokens": total, "first_id": docs_seen[nulls] if nulls < len(docs_seen) else None, "width": width}
+        yield pa.RecordBatch.from_pydict({k: pa.array([v], pa.string() if k == "stem" else pa.int64()) for k, v in row.items()})
 
-    manifest = materialize(map_batches(ranged, write, "part long, n_docs long, n_tokens long, first_id long, width long"), "token-parts")
-    # One row for each part: a running sum over parts, not over documents.
-    before = Window.orderBy("first_id", "part").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = materialize(map_batches(ranged, write, "part long, stem string, n_docs long, n_nulls long, n_tokens long, first_id long, width long"), "token-parts")
+    # One row for each part, and parts are in the order of the ids: a running sum over parts, not over documents.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -158,13 +233,13 @@ def open_part(fs: pafs.FileSystem, path: str):
 
 
 class Part:
-    """Random access to the documents of one part."""
+    """Random access to the documents of one part; the first ``nulls`` have no id."""
 
-    def __init__(self, folder: str, part: int, width: int, base: int = 0):
+    def __init__(self, folder: str, stem: str, width: int, base: int = 0, nulls: int = 0):
         fs, root = filesystem(folder)
-        self.base = base
-        self.ids = open_part(fs, f"{root}/{part}.bin").view("<u2" if width == 2 else "<u4")
-        self.offsets, self.docs = (open_part(fs, f"{root}/{part}.{x}").view("<i8") for x in ("off", "doc"))
+        self.base, self.nulls = base, nulls
+        self.ids = open_part(fs, f"{root}/{stem}.bin").view("<u2" if width == 2 else "<u4")
+        self.offsets, self.docs = (open_part(fs, f"{root}/{stem}.{x}").view("<i8") for x in ("off", "doc"))
 
     def __len__(self) -> int:
         return len(self.docs)
@@ -181,11 +256,11 @@ def read_tokens(spark: SparkSession, folder: str, digest: bool = True) -> DataFr
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                part = Part(folder, row["part"], row["width"], row["base"])
+                part = Part(folder, row["stem"], row["width"], row["base"], row["n_nulls"])
                 for at in range(0, len(part), 512):
                     span = range(at, min(at + 512, len(part)))
                     columns = {
-                        "doc_id": pa.array([None if (d := int(part.docs[i])) == NULL_ID else d for i in span], pa.int64()),
+                        "doc_id": pa.array([int(part.docs[i]) if i >= part.nulls else None for i in span], pa.int64()),
                         "start": pa.array([part.base + int(part.offsets[i]) for i in span], pa.int64()),
                         "n_tokens": pa.array([int(part.offsets[i + 1] - part.offsets[i]) for i in span], pa.int64()),
                     }
@@ -196,11 +271,12 @@ def read_tokens(spark: SparkSession, folder: str, digest: bool = True) -> DataFr
                     yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<int>")
-    return map_batches(manifest.select("part", "width", "base").repartition(tasks), read, schema)
+    return map_batches(manifest.select("stem", "n_nulls", "width", "base").repartition(tasks), read, schema)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Write ``docs`` (doc_id, text; other columns are ignored) and return the digest read back from the files."""
+    """Write ``docs`` (doc_id, text; other columns are ignored) and return the digest read back from the files: one row for
+    each document, a null or empty text with the end id alone."""
     folder = folder or scratch(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_path, end_id, folder)
     return read_tokens(docs.sparkSession, folder)
