@@ -87,7 +87,7 @@ def words_of(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """word -> 63-bit hash, remembered up to ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000, seed: int = 0):
+    def __init__(self, limit: int = 60_000, seed: int = 0):
         super().__init__()
         self.limit, self.seed = limit, seed
 

@@ -120,7 +120,7 @@ class Statistics:
 class Codes(dict):
     """word -> place among the hot words, or -1 - key for another word."""
 
-    def __init__(self, statistics: Statistics, limit: int = 400_000):
+    def __init__(self, statistics: Statistics, limit: int = 100_000):
         super().__init__()
         self.places, self.limit = {int(k): i for i, k in enumerate(statistics.keys)}, limit
 

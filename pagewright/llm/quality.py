@@ -37,7 +37,7 @@ GOOD_WEIGHT = 4
 TEMPERATURE = 0.05
 SEED = "gumbel"
 #: Words' ids remembered by a task.
-CACHE = 400_000
+CACHE = 60_000
 
 _MARKS = re.compile(rb"[^0-9A-Za-z\x80-\xff]+")
 
