@@ -1,10 +1,16 @@
 """Mixing sources to target weights by Pareto order sampling, DataFrame operations only.
 
 A source whose target is r times its size takes floor(r) whole copies of each
-document and a sample of about (r - floor(r)) of its words.  The sample orders
-documents by (U / (1 - U)) / (p / (1 - p)), U uniform from the document id and p
-the inclusion probability, and takes the first ones up to the number of words
-still missing (to the nearer side of the document that crosses it).
+document and a sample of about (r - floor(r)) of its words.  The sample is of
+unequal probability: a document's inclusion probability p falls with the length
+class (binary digits of its number of words) that it is in, so that the same
+words come from more documents, and is scaled by source such that the expected
+words are those still missing; classes that this would take above 1 are certain
+and the rest is scaled again.  Documents are ordered by random odds over
+inclusion odds, (U / (1 - U)) / (p / (1 - p)) with U uniform from the document
+id, and the first ones are taken up to the number of words still missing, to the
+nearer side of the document that crosses it: a source's taken words differ from
+its target by half of that document's words at most.
 
 No source is gathered in one task: the cut is found on two histograms of the
 order (256 bins each, pre-aggregated) and then among the documents of one bin
@@ -22,6 +28,8 @@ from .common import BROADCAST_ROWS, SPACES, bounded_join, free, materialize, uni
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 BINS = 256
+#: A document's share of inclusion is this less the binary digits of its number of words, 1 at least.
+MOST_DIGITS = 17
 SEED = "mix"
 
 
@@ -56,18 +64,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MA
 
 
 def _plan(slim: DataFrame, goals: DataFrame, most: int) -> DataFrame:
-    """source -> copies (whole), p (inclusion), cut (greatest order taken; null: none)."""
+    """source -> copies (whole), need (words of the sample) and key (the source, never null)."""
     ratio = F.col("target") / F.col("source_size")
     goals = goals.withColumn("copies", F.when(F.col("source_size") > 0, F.least(F.floor(ratio), F.lit(most))).otherwise(0).cast("long"))
     goals = goals.withColumn("need", F.greatest(F.col("target") - F.col("copies") * F.col("source_size"), F.lit(0.0)))
-    goals = goals.withColumn("p", F.when(F.col("source_size") > 0, F.col("need") / F.col("source_size")).otherwise(0.0))
     return goals.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
 
 
+def inclusion(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """key, cls and p of each source's length classes; ``rows`` has key, cls and size.  At most 64 rows for each source."""
+    sums = rows.filter("size > 0").groupBy("key", "cls").agg(F.sum("size").alias("words")).withColumn("h", F.greatest(F.lit(MOST_DIGITS) - F.col("cls"), F.lit(1)).cast("long"))
+    by_class, of_source = Window.partitionBy("key").orderBy("cls"), Window.partitionBy("key")
+    sums = bounded_join(sums, goals.select("key", "need"), ["key"])
+    left = F.col("need") - F.coalesce(F.sum("words").over(by_class.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("left", left).withColumn("rest", F.sum(F.col("words") * F.col("h")).over(by_class.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    # The certain classes come first; all others share the scale of the first of them.
+    sums = sums.withColumn("certain", F.col("left") * F.col("h") >= F.col("rest")).withColumn("scale", F.col("left") / F.col("rest"))
+    sums = sums.withColumn("scale", F.min(F.when(~F.col("certain"), F.struct("cls", "scale"))).over(of_source)["scale"])
+    return sums.select("key", "cls", F.when(F.col("certain"), 1.0).otherwise(F.col("scale") * F.col("h")).alias("p"))
+
+
 def order_key(p: Column, seed: str = SEED, on: str = "doc_id") -> Column:
-    """Random odds over inclusion odds."""
+    """Random odds over inclusion odds; 0 for what is certain, null for what is never taken."""
     u = uniform(F.col(on), seed)
-    return F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
+    return F.when(p >= 1, F.lit(0.0)).when(p > 0, (u / (1 - u)) / (p / (1 - p)))
 
 
 def _bin(q: Column, bins: int) -> Column:
@@ -80,12 +100,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COP
     Reads doc_id, text and source; other columns are ignored.  A null source is
     a source of its own, named last; null and empty texts have size 0 and are
     never taken; rows that repeat an id share its random number, so a tie is
-    taken or left as a whole.
+    taken or left as a whole.  Targets are worked out on one row for each source.
+    Also returns p, the inclusion probability beyond the whole copies.
     """
     slim = sizes if sizes is not None else materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size")), "mix-sizes")
     goals = materialize(_plan(slim, targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), most), "mix-goals")
-    keyed = slim.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
-    rows = bounded_join(keyed, goals, ["key"]).withColumn("q", order_key(F.col("p"), seed))
+    keyed = slim.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source").withColumn("cls", F.length(F.bin("size")))
+    shares = materialize(inclusion(keyed, goals), "mix-inclusion")
+    rows = bounded_join(bounded_join(keyed, goals, ["key"]), shares, ["key", "cls"], "left").withColumn("q", order_key(F.col("p"), seed))
 
     def narrowed(rows: DataFrame, bins: int) -> DataFrame:
         """key -> bin of the cut and words before it, by a running sum over at most BINS rows for each source."""
@@ -106,7 +128,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COP
     out = bounded_join(rows, cuts, ["key"], "left")
     taken = F.coalesce(F.when(F.col("with_cut"), F.col("q") <= F.col("cut")).otherwise(F.col("q") < F.col("cut")), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("copies") + taken.cast("long")).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.coalesce(F.col("p"), F.lit(0.0)).alias("p"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

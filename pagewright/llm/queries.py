@@ -93,9 +93,14 @@ WITH d AS (SELECT doc_id, source, len({_WORDS.format("text")})::BIGINT AS size F
   l AS (SELECT arg_max(open, rest_w) AS o, max(rest_w) AS rw FROM c WHERE NOT capped),
   t AS (SELECT source, source_size, CASE WHEN capped THEN (source_size * 3)::DOUBLE ELSE (o * w)::DOUBLE / rw END AS target FROM c, l),
   g AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS copies FROM t),
-  n AS (SELECT *, greatest(target - copies * source_size, 0) AS need, CASE WHEN source_size > 0 THEN greatest(target - copies * source_size, 0) / source_size ELSE 0 END AS p FROM g),
+  n AS (SELECT *, greatest(target - copies * source_size, 0) AS need FROM g),
+  b AS (SELECT source, length(bin(size)) AS cls, greatest(17 - length(bin(size)), 1) AS h, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL),
+  e AS (SELECT b.*, need - coalesce(sum(words) OVER (PARTITION BY b.source ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS open,
+    (sum(words * h) OVER (PARTITION BY b.source ORDER BY cls ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM b JOIN n ON b.source IS NOT DISTINCT FROM n.source),
+  i AS (SELECT source, cls, CASE WHEN open * h >= rest THEN 1 ELSE (arg_min(open / rest, cls) FILTER (open * h < rest) OVER (PARTITION BY source)) * h END AS p FROM e),
   u AS (SELECT doc_id, source, size, (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM d),
-  q AS (SELECT u.doc_id, u.size, n.*, CASE WHEN p > 0 AND p < 1 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u JOIN n ON u.source IS NOT DISTINCT FROM n.source),
+  q AS (SELECT u.doc_id, u.size, n.*, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM u JOIN n ON u.source IS NOT DISTINCT FROM n.source
+    LEFT JOIN i ON u.source IS NOT DISTINCT FROM i.source AND length(bin(u.size)) = i.cls),
   o AS (SELECT source, q, sum(size) OVER (PARTITION BY source ORDER BY q) AS upto, sum(size) OVER (PARTITION BY source, q) AS words, need FROM q WHERE q IS NOT NULL),
   k AS (SELECT source, min(q) AS cut, arg_min(upto - need <= need - (upto - words), q) AS with_cut FROM o WHERE upto >= need GROUP BY source)
 SELECT doc_id, size, source_size, target,
