@@ -2,11 +2,13 @@
 
 Two generative models of hashed n-grams are counted: the target's, over labelled
 good texts, and the raw text's, over all documents.  A document's importance
-weight is the log ratio of the two, summed over its n-grams.  Documents are
-resampled without replacement by Gumbel top-k: the k greatest of
-weight / temperature + Gumbel noise.
+weight is the log ratio of the two, summed over its n-grams, in nats; in a long
+text the sum is drawn in, as if it had at most FULL_NGRAMS independent ones.
+Documents are resampled without replacement by Gumbel top-k: the k greatest of
+weight / temperature + Gumbel noise, which at temperature 1 draws one document
+after the other in proportion to its likelihood ratio.
 
-k is the number of documents whose weight is above a threshold that separates
+k is a parameter.  By default it is the number of documents whose weight is above a threshold that separates
 labelled good and bad texts best.  The target model and the threshold are fitted
 on a bounded sample of labelled rows (SAMPLE of each quality, by least hash of
 the id), in halves; the raw model, the weights and the choice cover every row.
@@ -17,6 +19,8 @@ the word before) and pairs of shapes.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_join, free, map_batches, materialize, mixed, texts_of, uniform
+from .common import WordHashes, bounded_join, free, map_batches, materialize, mixed, texts_of
 
 BUCKETS = 1 << 14
 #: Labelled rows of either quality that the target model and the threshold are fitted on.
@@ -34,7 +38,9 @@ SAMPLE = 10_000
 SMOOTHING = 1.0
 #: What a lost good document weighs against a kept bad one.
 GOOD_WEIGHT = 4
-TEMPERATURE = 0.05
+TEMPERATURE = 1.0
+#: n-grams of a text that count as independent: n of them weigh as n * FULL_NGRAMS / (n + FULL_NGRAMS) would.
+FULL_NGRAMS = 200
 SEED = "gumbel"
 #: Words' ids remembered by a task.
 CACHE = 60_000
@@ -122,17 +128,32 @@ def ngram_models(docs: DataFrame, sample: dict[int, tuple[int, bool]], buckets:
     return share(target) - share(raw)
 
 
-def importance(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """doc_id, n_ngrams and weight of each row."""
+def gumbel(doc: int | None, seed: str = SEED) -> float:
+    """Reproducible noise of a row, from the first 52 bits of md5(seed:id)."""
+    u = (int(hashlib.md5(f"{seed}:{'' if doc is None else doc}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    return -math.log(-math.log(u))
+
+
+def ordered_bits(keys: np.ndarray) -> np.ndarray:
+    """Doubles as longs that compare, as unsigned numbers, the way the doubles do."""
+    bits = (keys + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63)).view(np.int64)
+
+
+def importance(docs: DataFrame, ratios: np.ndarray, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
+    """doc_id, n_ngrams, weight, key (weight / temperature + noise) and bits (the key's order) of each row."""
     shared, buckets = docs.sparkSession.sparkContext.broadcast(ratios), len(ratios)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, table = Features(buckets), shared.value
         for batch in batches:
             found = [features(t) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([float(table[x].sum()) for x in found], pa.float64())], ["doc_id", "n_ngrams", "weight"])
+            n = np.array([len(x) for x in found], np.int64)
+            weight = np.array([float(table[x].sum()) for x in found]) * (FULL_NGRAMS / (n + FULL_NGRAMS))
+            keys = weight / temperature + np.array([gumbel(d, seed) for d in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(weight), pa.array(keys), pa.array(ordered_bits(keys))], ["doc_id", "n_ngrams", "weight", "key", "bits"])
 
-    return map_batches(_texts(docs), run, "doc_id long, n_ngrams long, weight double")
+    return map_batches(_texts(docs), run, "doc_id long, n_ngrams long, weight double, key double, bits long")
 
 
 def threshold(weights: np.ndarray, good: np.ndarray) -> float:
@@ -150,7 +171,7 @@ def threshold(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 def radix_cut(keys: DataFrame, k: int) -> int | None:
-    """The k-th greatest of the non-negative long column ``bits``, found on histograms of its digits; None if there are fewer.
+    """The k-th greatest of the long column ``bits``, taken as unsigned, found on histograms of its digits; None if there are fewer.
 
     16 bits a step, so no step brings more than 65,536 rows to the driver."""
     bits = F.col("bits")
@@ -158,39 +179,36 @@ def radix_cut(keys: DataFrame, k: int) -> int | None:
     for shift in (48, 32, 16, 0):
         at = keys if prefix is None else keys.filter(F.shiftrightunsigned(bits, shift + 16) == F.lit(prefix))
         counts = at.groupBy(F.shiftrightunsigned(bits, shift).alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()
-        for row in sorted(counts, key=lambda r: -r["d"]):
+        for row in sorted(counts, key=lambda r: -(r["d"] % 2**64)):
             if row["c"] >= left:
                 prefix = row["d"]
                 break
             left -= row["c"]
         else:
             return None
-    return prefix
+    return prefix % 2**64
 
 
 def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, k: int | None = None, size: int = SAMPLE, seed: str = SEED) -> DataFrame:
     """doc_id, n_ngrams, weight, key and kept for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     ``k`` documents are kept (default: as many as have weights above the fitted
-    threshold); rows with the same key as the last one are kept with it, such as
-    repeated rows.  Null and empty texts have weight 0 and no n-grams and are
-    rejected.  Without labelled good and bad rows, all rows with n-grams are kept.
+    threshold).  Keys are compared bit by bit, so more than k are kept only where
+    rows have the very same key as the last one, such as repeated rows.  Null and
+    empty texts have weight 0 and no n-grams and are rejected.  Without labelled
+    good and bad rows, all rows with n-grams are kept.
     """
     sample = labelled_sample(labels, size)
-    scored = materialize(importance(docs, ngram_models(docs, sample)), "quality-weights")
+    scored = materialize(importance(docs, ngram_models(docs, sample), temperature, seed), "quality-weights")
     if k is None:
         ids = docs.sparkSession.createDataFrame(pd.DataFrame({"doc_id": pd.Series([d for d in sample], dtype="int64"), "good": pd.Series([q == 1 for q, _ in sample.values()], dtype="bool"), "fits": pd.Series([f for _, f in sample.values()], dtype="bool")}), "doc_id long, good boolean, fits boolean")
-        known = scored.join(F.broadcast(ids), "doc_id").filter("not fits and n_ngrams > 0").select("weight", "good").toPandas()  # bounded by the sample
+        known = scored.join(F.broadcast(ids), "doc_id").filter("not fits and n_ngrams > 0").groupBy("doc_id", "good").agg(F.min("weight").alias("weight")).toPandas()  # one row for each id of the sample at most
         cut = threshold(known["weight"].to_numpy(), known["good"].to_numpy(dtype=bool))
         k = scored.filter((F.col("weight") >= cut) & (F.col("n_ngrams") > 0)).count()
-    noise = -F.log(-F.log(uniform(F.col("doc_id"), seed)))
-    keyed = scored.withColumn("key", F.col("weight") / temperature + noise)
-    # Order-preserving integers: 2^-20 steps around zero, clipped far outside what a text reaches; a key's precision there is a double's.
-    ranked = keyed.filter("n_ngrams > 0").select((F.greatest(F.least(F.col("key"), F.lit(4e12)), F.lit(-4e12)) * 2**20 + 2.0**62).cast("long").alias("bits"))
-    cut = radix_cut(ranked, k) if k > 0 else 2**63 - 1
-    bits = (F.greatest(F.least(F.col("key"), F.lit(4e12)), F.lit(-4e12)) * 2**20 + 2.0**62).cast("long")
-    kept = (F.col("n_ngrams") > 0) & (F.lit(True) if cut is None else bits >= F.lit(cut))
-    return keyed.withColumn("kept", kept).select("doc_id", "n_ngrams", "weight", "key", "kept")
+    cut = radix_cut(scored.filter("n_ngrams > 0"), k) if k > 0 else 2**64 - 1
+    signed = lambda x: x.bitwiseXOR(F.lit(-(2**63)))
+    kept = (F.col("n_ngrams") > 0) & (F.lit(True) if cut is None else signed(F.col("bits")) >= F.lit(cut - 2**63))
+    return scored.withColumn("kept", kept).select("doc_id", "n_ngrams", "weight", "key", "kept")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
