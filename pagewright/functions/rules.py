@@ -44,6 +44,9 @@ GENERIC_CHALLENGE_TITLE = r"(?i)\b(?:access denied|request unsuccessful|security
 CHALLENGE_MARKUP = r"(?i)cf-chl-|/cdn-cgi/challenge-platform/|captcha-delivery\.com|px-captcha|_Incapsula_Resource|perimeterx\.net|_pxAppId|ak-challenge|sec-cpt"
 CAPTCHA = r"(?i)hcaptcha|recaptcha|turnstile"
 OPEN_LICENSE = r"(?i)SIL Open Font License|\bOFL\b|openfontlicense|scripts\.sil\.org/OFL|Apache License|Ubuntu Font Licen[cs]e"
+VARIANT_SUFFIX = r"[@._-](?:\d+x|\d{2,5}x\d{2,5}|large|larger|small|smaller|medium|thumb|thumbnail|scaled|resized|full|original|orig|min|hd|retina|mobile|tablet|desktop)"
+#: Greatest area and length-to-width ratio of a logo, score that promotes to the site's logo, characters of a label that names a logo, side of an icon.
+LOGO_AREA, LOGO_RATIO, PROMOTED, LABEL_CHARS, ICON_SIDE = 120_000, 30, 6, 60, 48
 ROLE_WEIGHTS = {"site-logo": 1000.0, "logo": 500.0, "favicon": 300.0, "social": 200.0, "illustration": 100.0, "image": 100.0, "sprite-symbol": 20.0, "icon": 10.0}
 
 
@@ -102,19 +105,20 @@ def in_hosts(url: Column, entries: list[str]) -> Column:
 def noise_reason(url: Column, content_type: Column, width: Column, height: Column, n_bytes: Column, svg_text: Column, blob_captured: Column) -> Column:
     """The first rule that makes a candidate noise, or null."""
     data, path = url.rlike("(?i)^data:"), url_path(url)
-    svg = url.rlike(r"(?i)^data:image/svg\+xml")
+    svg = url.rlike(r"(?i)^data:image/svg")
     both = width.isNotNull() & height.isNotNull()
-    small = F.when(both, F.greatest(width, height) < 64).otherwise(F.coalesce(n_bytes, 0.75 * F.length(url)) < 1024)
-    kind = F.lower(F.trim(F.split_part(F.coalesce(content_type, F.lit("")), F.lit(";"), F.lit(1))))
+    small, size = both & (F.greatest(width, height) < 64), F.coalesce(n_bytes, 0.75 * F.length(url))
+    kind = F.trim(F.coalesce(content_type, F.lit("")))
+    blurred = svg_text.rlike("(?i)feGaussianBlur") & svg_text.rlike(r"(?i)<image\b")
     return (
-        F.when(svg, F.when(~F.coalesce(svg_text, F.lit("")).rlike(DRAWABLE), "placeholder"))
-        .when(data, F.when(F.coalesce(small, F.lit(False)), "tiny-data-uri"))
+        F.when(svg, F.when(svg_text.isNotNull() & (~svg_text.rlike(DRAWABLE) | blurred), "placeholder"))
+        .when(data, F.when(F.coalesce(small | (size < 1024), F.lit(False)), "tiny-data-uri"))
         .when(url.rlike("(?i)^blob:"), F.when(~F.coalesce(blob_captured, F.lit(False)), "blob-unavailable"))
         .when(~url.rlike("(?i)^https?://"), "not-image")
-        .when(in_hosts(url, TRACKER_HOSTS) | (F.regexp_replace(url, "^[^:]*://[^/]*", "").rlike(TRACKING_PATH) & F.coalesce(width <= 2, F.lit(False))), "tracker")
+        .when(in_hosts(url, TRACKER_HOSTS) | (path.rlike(TRACKING_PATH) & F.coalesce(width <= 2, F.lit(False))), "tracker")
         .when(path.rlike(SPACER) | path.rlike(BLANK), "spacer")
         .when(both & (width <= 2) & (height <= 2), "pixel")
-        .when((kind != "") & ~kind.startswith("image/") & ~kind.isin("application/octet-stream", "binary/octet-stream"), "not-image")
+        .when((kind != "") & ~kind.rlike("(?i)^image/") & ~kind.rlike("(?i)octet-stream|binary"), "not-image")
         .when(in_hosts(url, CONSENT_HOSTS), "consent")
         .when(in_hosts(url, WIDGET_HOSTS), "widget")
     )
@@ -144,27 +148,28 @@ def size_score(decoded: Column, natural: Column, declared: Column, descriptor_w:
 
 
 def role(kind: Column, fmt: Column, found_in: Column, logo: Column, logo_word: Column, logo_wall: Column, label: Column, sprite: Column, w: Column, h: Column, rw: Column, rh: Column, cropped: Column, partly_hidden: Column) -> Column:
-    """The ordered role rules; sizes are intrinsic (w, h) and rendered (rw, rh), 0 where unknown."""
-    no, has = F.lit(False), lambda v: F.array_contains(found_in, v)
-    rendered = (rw > 0) & (rh > 0)
-    area = F.when(rendered, rw * rh).when((kind == "svg") | logo_wall | (logo >= 6), 0.0).otherwise(w * h)
-    long_side, short = F.when(rendered, F.greatest(rw, rh)).otherwise(F.greatest(w, h)), F.when(rendered, F.least(rw, rh)).otherwise(F.least(w, h))
-    line = F.coalesce((short > 0) & (long_side > 30 * short), no)
-    frame = ((F.size(found_in) > 0) & F.forall(found_in, lambda x: x == "video-poster")) | partly_hidden
-    shaped = (area <= 120_000) & ~line & ~frame & ~cropped
-    evidence = logo_word | logo_wall | F.coalesce(label.rlike("(?i)logo") & (F.length(label) <= 60), no)
-    side = F.when(F.greatest(rw, rh) > 0, F.greatest(rw, rh)).otherwise(F.greatest(w, h))
-    ico = fmt == "ico"
-    return (
-        F.when(~ico & (has("json-ld") | (logo >= 6) & shaped), "site-logo")
-        .when(has("icon-link") | has("meta-icon") | has("manifest") | ico & has("json-ld"), "favicon")
-        .when(has("og-image") | has("twitter-image"), "social")
-        .when(~ico & evidence & shaped, "logo")
-        .when(sprite, "sprite-symbol")
-        .when((side > 0) & (side <= 48), "icon")
-        .when(kind == "svg", "illustration")
-        .otherwise("image")
-    )
+    """The role of the first rule that holds; sizes are intrinsic (w, h) and rendered (rw, rh), 0 where unknown."""
+    no, ico = F.lit(False), fmt == "ico"
+    found = lambda *places: F.arrays_overlap(found_in, F.array(*map(F.lit, places)))
+    drawn = (rw > 0) & (rh > 0)
+    # What a logo can look like: of a modest area, no line, no frame of a video, whole. An area that is only intrinsic says nothing of a vector or a likely logo.
+    area = F.when(drawn, rw * rh).otherwise(F.when((kind == "svg") | logo_wall | (logo >= PROMOTED), 0.0).otherwise(w * h))
+    sides = [F.when(drawn, f(rw, rh)).otherwise(f(w, h)) for f in (F.greatest, F.least)]
+    stripe = F.coalesce((sides[1] > 0) & (sides[0] > LOGO_RATIO * sides[1]), no)
+    poster = (F.size(found_in) > 0) & (F.size(F.array_remove(found_in, "video-poster")) == 0)
+    fits = (area <= LOGO_AREA) & ~(stripe | poster | partly_hidden | cropped)
+    named = F.coalesce(label.rlike("(?i)logo") & (F.length(label) <= LABEL_CHARS), no)
+    side = F.coalesce(F.nullif(F.greatest(rw, rh), F.lit(0.0)), F.greatest(w, h))
+    table = {
+        "site-logo": ~ico & (found("json-ld") | (fits & (logo >= PROMOTED))),
+        "favicon": found("icon-link", "meta-icon", "manifest") | (ico & found("json-ld")),
+        "social": found("og-image", "twitter-image"),
+        "logo": ~ico & fits & (logo_word | logo_wall | named),
+        "sprite-symbol": sprite,
+        "icon": (side > 0) & (side <= ICON_SIDE),
+        "illustration": kind == "svg",
+    }
+    return F.coalesce(*[F.when(holds, name) for name, holds in table.items()], F.lit("image"))
 
 
 def relevance(role_name: Column, rw: Column, rh: Column, visible: Column, order: Column) -> Column:
@@ -181,9 +186,9 @@ def small_icon(role_name: Column, rw: Column, rh: Column, w: Column, h: Column)
 
 
 def normalized_name(name: Column) -> Column:
-    """Without extension and size-variant suffixes, as a lower-case slug."""
+    """Without extension and, again and again, size-variant suffixes, as a lower-case slug."""
     base = F.regexp_replace(F.lower(F.trim(name)), r"\.[a-z0-9]{2,5}$", "")
-    base = F.regexp_replace(base, r"(?:@[0-9]x|[-_][0-9]+x[0-9]*|[-_](?:xsmall|small|medium|large|xlarge|xxlarge))+$", "")
+    base = F.regexp_replace(base, f"(?:{VARIANT_SUFFIX})+$", "")
     return F.regexp_replace(F.regexp_replace(base, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 

@@ -6,24 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..session import cut
+from . import graph
 
 
 def merge_candidates(candidates: DataFrame) -> DataFrame:
     """One record for each (page_id, url): first-seen places, least order, any/all flags, largest sizes, first label, uses."""
     area = F.coalesce(F.col("natural_w") * F.col("natural_h"), F.lit(0.0))
-    grouped = candidates.groupBy("page_id", "url").agg(
-        F.array_sort(F.collect_set(F.struct("ord", "found_in"))).alias("places"),
-        F.min("ord").alias("ord"),
-        F.max("visible").alias("visible"),
-        F.min("declared_only").alias("declared_only"),
-        F.max("descriptor_w").alias("descriptor_w"),
-        F.max_by(F.struct("natural_w", "natural_h"), F.struct(area, -F.col("ord"))).alias("natural"),
-        F.min_by("label", F.when(F.col("label").isNotNull(), F.col("ord"))).alias("label"),
-        F.max("logo_score").alias("logo_score"),
-        F.countDistinct("grp").alias("used_count"),
-    )
-    return grouped.select("page_id", "url", F.array_join(F.array_distinct(F.transform("places", lambda x: x["found_in"])), ",").alias("found_in"), "ord", "visible", "declared_only", "descriptor_w", F.col("natural.natural_w").alias("natural_w"), F.col("natural.natural_h").alias("natural_h"), "label", "logo_score", "used_count")
+    # First by place, of which there are few kinds, and by element: what is collected for a URL is bounded.
+    facts = {
+        "ord": F.min("ord"), "visible": F.max("visible"), "declared_only": F.min("declared_only"), "descriptor_w": F.max("descriptor_w"), "logo_score": F.max("logo_score"),
+        "natural": F.max(F.struct(area.alias("area"), (-F.col("ord")).alias("at"), "natural_w", "natural_h")), "first": F.min(F.when(F.col("label").isNotNull(), F.struct("ord", "label"))),
+    }
+    by_place = candidates.groupBy("page_id", "url", "found_in").agg(*[f.alias(name) for name, f in facts.items()])
+    again = {"ord": F.min, "declared_only": F.min, "first": F.min}
+    merged = by_place.groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.struct("ord", "found_in"))).alias("places"), *[again.get(name, F.max)(name).alias(name) for name in facts])
+    uses = candidates.filter("grp is not null").select("page_id", "url", "grp").distinct().groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("used_count"))
+    grouped = merged.join(uses, ["page_id", "url"], "left").withColumn("used_count", F.coalesce("used_count", F.lit(0))).withColumn("label", F.col("first.label"))
+    return grouped.select("page_id", "url", F.array_join(F.transform("places", lambda x: x["found_in"]), ",").alias("found_in"), "ord", "visible", "declared_only", "descriptor_w", F.col("natural.natural_w").alias("natural_w"), F.col("natural.natural_h").alias("natural_h"), "label", "logo_score", "used_count")
 
 
 def with_captures(records: DataFrame, captures: DataFrame) -> DataFrame:
@@ -44,27 +43,19 @@ def implicit_favicons(pages: DataFrame, icons: DataFrame) -> DataFrame:
     return pages.join(icons.select("page_id"), "page_id", "left_anti").select("page_id", F.concat(origin, F.lit("/favicon.ico")).alias("url"))
 
 
-def variant_groups(members: DataFrame, rounds: int = 32) -> DataFrame:
-    """page_id, idx, root, group_kind: components over shared element groups, variant keys and content hashes, split by kind.
-
-    A page is a small graph; labels pass through the shared keys until none changes.
-    Each key's members take its least label, so a round costs three aggregations
-    of the members and no pairs.
-    """
-    keys = members.select("page_id", "idx", F.explode(F.array(F.struct(F.lit("g").alias("t"), F.col("grp").cast("string").alias("k")), F.struct(F.lit("v").alias("t"), F.col("variant_key").alias("k")), F.struct(F.lit("h").alias("t"), F.col("sha1").alias("k")))).alias("key"))
-    keys = keys.filter("key.k is not null").select("page_id", "idx", F.concat_ws(":", "key.t", "key.k").alias("key"))
-    keys = cut(keys)
-    labels = members.select("page_id", "idx", F.col("idx").alias("root"))
-    before = None
-    for _ in range(rounds):
-        low = keys.join(labels, ["page_id", "idx"]).groupBy("page_id", "key").agg(F.min("root").alias("low"))
-        new = keys.join(low, ["page_id", "key"]).groupBy("page_id", "idx").agg(F.min("low").alias("low"))
-        labels = cut(labels.join(new, ["page_id", "idx"], "left").select("page_id", "idx", F.least("root", F.coalesce("low", "root")).alias("root")))
-        now = labels.agg(F.sum("root")).first()[0]
-        if now == before:
-            break
-        before = now
-    return labels.join(members.select("page_id", "idx", "kind"), ["page_id", "idx"]).select("page_id", "idx", "root", F.col("kind").alias("group_kind"))
+def variant_groups(members: DataFrame) -> DataFrame:
+    """page_id, idx, root (the least member it is linked to) and group_kind: members linked by an element group, a variant key or a content hash, split by kind.
+
+    ``members`` has groups (element groups in order), preferred_group, art_directed, variant_key and sha1.  A member
+    of several element groups joins its preferred one alone (the first one where none is), and an art-directed one joins
+    none.  Each key's members are linked to its least one, so there are no pairs."""
+    several = F.size("groups") > 1
+    group = F.when(~F.coalesce("art_directed", F.lit(False)) & (F.size("groups") > 0), F.when(several, F.coalesce("preferred_group", F.col("groups")[0])).otherwise(F.col("groups")[0]))
+    key = lambda kind, value: F.when(value.isNotNull(), F.concat(F.lit(f"{kind}:"), value.cast("string")))
+    keys = members.select("page_id", "idx", F.explode(F.array_compact(F.array(key("group", group), key("variant", F.col("variant_key")), key("content", F.col("sha1"))))).alias("key"))
+    least = keys.groupBy("page_id", "key").agg(F.min("idx").alias("b"))
+    roots = graph.components(keys.join(least, ["page_id", "key"]).select("page_id", F.col("idx").alias("a"), "b"))
+    return members.select("page_id", "idx", "kind").join(roots.withColumnRenamed("node", "idx"), ["page_id", "idx"], "left").select("page_id", "idx", F.coalesce("root", "idx").alias("root"), F.col("kind").alias("group_kind"))
 
 
 def best_members(members: DataFrame, groups: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,7 +75,7 @@ def a4_a5_counts(df):
     return df.groupBy("page_id").agg(F.count(F.lit(1)).alias("assets"), F.count_if(F.col("kind") == "svg").alias("svg"), F.count_if(F.col("kind") == "image").alias("images"), F.sum("bytes").alias("bytes"))
 
 
-@query(r.ASSETS, rf"SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '\.[a-z0-9]{{2,5}}$', ''), '(@[0-9]x|[-_][0-9]+x[0-9]*|[-_](xsmall|small|medium|large|xlarge|xxlarge))+$', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {o(r.ASSETS)}")
+@query(r.ASSETS, rf"SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '\.[a-z0-9]{{2,5}}$', ''), '([@._-]([0-9]+x|[0-9]{{2,5}}x[0-9]{{2,5}}|large|larger|small|smaller|medium|thumb|thumbnail|scaled|resized|full|original|orig|min|hd|retina|mobile|tablet|desktop))+$', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {o(r.ASSETS)}")
 def p28_normalized_name(df):
     return df.select("id", rules.normalized_name(F.col("name")).alias("slug"))
 
@@ -98,7 +99,7 @@ def _case(key: str, table: dict[str, str], default: str) -> str:
 _URL_FORMAT = f"CASE WHEN url LIKE 'data:%' THEN {_case("split_part(split_part(substr(url, 6), ';', 1), ',', 1)", rules.MIME_FORMATS, "'other'")} ELSE {_case(f"lower(regexp_extract({_PATH}, '[.]([A-Za-z0-9]+)$', 1))", rules.EXTENSION_FORMATS, "'other'")} END"
 
 
-@query(r.URLS, f"SELECT id, {_URL_FORMAT} AS from_url, {_case("split_part(coalesce(content_type, ''), ';', 1)", rules.MIME_FORMATS, _URL_FORMAT)} AS format FROM {o(r.URLS)}")
+@query(r.URLS, f"SELECT id, {_URL_FORMAT} AS from_url, {_case("lower(split_part(coalesce(content_type, ''), ';', 1))", rules.MIME_FORMATS, _URL_FORMAT)} AS format FROM {o(r.URLS)}")
 def p14_formats(df):
     return df.select("id", rules.format_from_url(F.col("url")).alias("from_url"), rules.format_of(F.col("content_type"), F.col("url")).alias("format"))
 
@@ -112,16 +113,18 @@ def _listed(entries: list[str]) -> str:
     return "(" + " OR ".join(f"((h = '{e.split('/')[0]}' OR h LIKE '%.{e.split('/')[0]}')" + (f" AND lower(p) LIKE '/{e.split('/', 1)[1]}%'" if "/" in e else "") + ")" for e in entries) + ")"
 
 
-_NOISE = f"""SELECT id, page_id, CASE WHEN url LIKE 'data:%' THEN CASE WHEN greatest(width, height) < 64 THEN 'tiny-data-uri' END WHEN url LIKE 'blob:%' THEN 'blob-unavailable' WHEN NOT regexp_matches(url, '^https?://') THEN 'not-image'
-  WHEN {_listed(rules.TRACKER_HOSTS)} OR (regexp_matches(regexp_replace(url, '^[^:]*://[^/]*', ''), '/(tr|collect|pixel|beacon|track|impression|__imp|b/ss|g/collect|j/collect)(/|[?]|$)') AND width <= 2) THEN 'tracker'
+# The relation's hosts that are listed, written out here: the query's lists are not asked.
+_NOISE = f"""SELECT id, page_id, CASE WHEN url LIKE 'data:image/svg%' THEN CASE WHEN svg_text LIKE '%<g/>%' OR svg_text LIKE '%feGaussianBlur%' THEN 'placeholder' END
+  WHEN url LIKE 'data:%' THEN CASE WHEN greatest(width, height) < 64 OR length(url) * 0.75 < 1024 THEN 'tiny-data-uri' END WHEN url LIKE 'blob:%' THEN 'blob-unavailable' WHEN NOT regexp_matches(lower(url), '^https?://') THEN 'not-image'
+  WHEN {_listed(["google-analytics.com", "pinimg.com/ct"])} OR (regexp_matches(p, '/(tr|collect|pixel|beacon|track|impression|__imp|b/ss|g/collect|j/collect)(/|[?]|$)') AND width <= 2) THEN 'tracker'
   WHEN regexp_matches(p, '/(pixel|spacer|blank|transparent|clear|1x1|trans|empty)[.](gif|png)$') THEN 'spacer' WHEN width <= 2 AND height <= 2 THEN 'pixel'
-  WHEN content_type IS NOT NULL AND content_type NOT LIKE 'image/%' THEN 'not-image' WHEN {_listed(rules.CONSENT_HOSTS)} THEN 'consent' WHEN {_listed(rules.WIDGET_HOSTS)} THEN 'widget' END AS reason
+  WHEN content_type IS NOT NULL AND content_type NOT ILIKE 'image/%' AND content_type NOT ILIKE '%octet-stream%' AND content_type NOT ILIKE '%binary%' THEN 'not-image' WHEN {_listed(["cookielaw.org"])} THEN 'consent' WHEN {_listed(["intercomcdn.com"])} THEN 'widget' END AS reason
 FROM (SELECT *, {_HOST} AS h, {_PATH} AS p FROM {o(r.URLS)})"""
 
 
 def _noise() -> F.Column:
     none = F.lit(None)
-    return rules.noise_reason(F.col("url"), F.col("content_type"), F.col("width"), F.col("height"), none.cast("double"), none.cast("string"), none.cast("boolean"))
+    return rules.noise_reason(F.col("url"), F.col("content_type"), F.col("width"), F.col("height"), none.cast("double"), F.col("svg_text"), none.cast("boolean"))
 
 
 @query(r.URLS, f"SELECT id, reason FROM ({_NOISE})")
@@ -193,19 +196,24 @@ def s10_implicit_favicons(spark, sf_dir):
     return assets.implicit_favicons(pages, pages.filter("page_id % 3 = 0").select("page_id"))
 
 
-_COMPONENTS = f"""WITH RECURSIVE m AS {o(r.MEMBERS)}, k AS (SELECT page_id, idx, 'g' || grp AS key FROM m WHERE grp IS NOT NULL UNION ALL SELECT page_id, idx, 'v' || variant_key FROM m UNION ALL SELECT page_id, idx, 's' || sha1 FROM m WHERE sha1 IS NOT NULL),
+_COMPONENTS = f"""WITH RECURSIVE m AS {o(r.MEMBERS)}, g AS (SELECT *, CASE WHEN art_directed THEN NULL WHEN grp1 IS NOT NULL AND grp2 IS NOT NULL THEN coalesce(preferred_group, grp1) ELSE coalesce(grp1, grp2) END AS grp FROM m),
+  k AS (SELECT page_id, idx, 'g' || grp AS key FROM g WHERE grp IS NOT NULL UNION ALL SELECT page_id, idx, 'v' || variant_key FROM m UNION ALL SELECT page_id, idx, 's' || sha1 FROM m WHERE sha1 IS NOT NULL),
   f AS (SELECT page_id, key, min(idx) AS low FROM k GROUP BY ALL), e AS (SELECT DISTINCT page_id, idx AS a, low AS b FROM k JOIN f USING (page_id, key)), b AS (SELECT page_id, a, b FROM e UNION SELECT page_id, b, a FROM e),
   t AS (SELECT page_id, a, b FROM b UNION SELECT t.page_id, t.a, b.b FROM t JOIN b ON t.page_id = b.page_id AND t.b = b.a), c AS (SELECT page_id, a AS idx, min(b) AS root FROM t GROUP BY ALL)"""
 
 
+def _members(df):
+    return df.withColumn("groups", F.array_compact(F.array("grp1", "grp2")))
+
+
 @query(r.MEMBERS, _COMPONENTS + " SELECT page_id, idx, root, kind AS group_kind FROM c JOIN m USING (page_id, idx)")
 def d1_variant_groups(df):
-    return assets.variant_groups(df)
+    return assets.variant_groups(_members(df))
 
 
 @query(r.MEMBERS, _COMPONENTS + " SELECT page_id, root, kind AS group_kind, arg_max(idx, (size_score, -idx)) AS best, count(*) AS members FROM c JOIN m USING (page_id, idx) GROUP BY ALL")
 def d2_best_members(df):
-    return assets.best_members(df, assets.variant_groups(df))
+    return assets.best_members(df, assets.variant_groups(_members(df)))
 
 
 _LAB = """SELECT *, 0.2104542553 * l1 + 0.793617785 * m1 - 0.0040720468 * s1 AS l, 1.9779984951 * l1 - 2.428592205 * m1 + 0.4505937099 * s1 AS a, 0.0259040371 * l1 + 0.7827717662 * m1 - 0.808675766 * s1 AS b, 0.2126 * r + 0.7152 * g + 0.0722 * bl AS y FROM (
@@ -263,33 +271,86 @@ def q8_recent_hosts(df):
 
 
 _PREF = "kind <> 'svg', width * height DESC, CASE format WHEN 'svg' THEN 0 WHEN 'png' THEN 1 WHEN 'webp' THEN 2 WHEN 'avif' THEN 3 WHEN 'jpg' THEN 4 WHEN 'gif' THEN 5 ELSE 6 END, score DESC, ord, id"
-_SLUG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(name)), '\.[a-z0-9]{2,5}$', ''), '(@[0-9]x|[-_][0-9]+x[0-9]*|[-_](xsmall|small|medium|large|xlarge|xxlarge))+$', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-_SELECT = f"""WITH RECURSIVE s0 AS (SELECT * FROM {o(r.ASSETS)}), s1 AS (SELECT * FROM s0 WHERE url IS NOT NULL), s2 AS (SELECT * FROM s1 WHERE role NOT IN ('sprite-symbol', 'icon')),
-  s3 AS (SELECT * FROM s2 QUALIFY role <> 'favicon' OR row_number() OVER (PARTITION BY page_id, role = 'favicon' ORDER BY {_PREF}) = 1),
-  s4 AS (SELECT * FROM s3 WHERE kind = 'svg' OR role IN ('site-logo', 'logo', 'favicon') OR greatest(width, height) >= 600), s5 AS (SELECT *, {_SLUG} AS slug FROM s4 WHERE coalesce(bytes, 0) <= 8388608),
-  s6 AS (SELECT * FROM s5 QUALIFY kind = 'svg' OR slug = '' OR NOT bool_or(kind = 'svg') OVER (PARTITION BY page_id, slug)), s7 AS (SELECT * FROM s6 QUALIFY row_number() OVER (PARTITION BY page_id, sha1 ORDER BY {_PREF}) = 1),
-  p AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS pool, floor(20 * count(*) OVER (PARTITION BY page_id, kind) / (count(*) OVER (PARTITION BY page_id))::DOUBLE) AS quota, row_number() OVER (PARTITION BY page_id, kind ORDER BY score DESC, ord, id) AS k FROM s7),
-  q AS (SELECT *, pool <= 20 OR k <= quota AS first FROM p), u AS (SELECT *, 20 - sum(first::INT) OVER (PARTITION BY page_id) AS room, row_number() OVER (PARTITION BY page_id, first ORDER BY score DESC, ord, id) AS rest FROM q),
-  s8 AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord, id) AS n FROM u WHERE first OR rest <= room),
-  g AS (SELECT page_id, n, id, coalesce(bytes, 0) <= 10000000 AS fits, CASE WHEN coalesce(bytes, 0) <= 10000000 THEN coalesce(bytes, 0) ELSE 0 END::BIGINT AS spent FROM s8 WHERE n = 1
-    UNION ALL SELECT s8.page_id, s8.n, s8.id, g.spent + coalesce(bytes, 0) <= 10000000, (g.spent + CASE WHEN g.spent + coalesce(bytes, 0) <= 10000000 THEN coalesce(bytes, 0) ELSE 0 END)::BIGINT FROM g JOIN s8 ON s8.page_id = g.page_id AND s8.n = g.n + 1)"""
-
-
-_REASONS = "CASE WHEN s1.id IS NULL THEN 'unavailable' WHEN s2.id IS NULL THEN CASE WHEN s0.role = 'icon' THEN 'icon' ELSE 'sprite' END WHEN s3.id IS NULL THEN 'extra-favicon' WHEN s4.id IS NULL THEN 'small' WHEN s5.id IS NULL THEN 'too-large' WHEN s6.id IS NULL THEN 'vector-preferred' WHEN s7.id IS NULL THEN 'duplicate' WHEN s8.id IS NULL THEN 'cap' WHEN NOT g.fits THEN 'over-budget' END"
-_JOINED = "FROM s0 " + " ".join(f"LEFT JOIN {t} ON {t}.id = s0.id" for t in ("s1", "s2", "s3", "s4", "s5", "s6", "s7", "s8", "g"))
+_SLUG = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({})), '\.[a-z0-9]{{2,5}}$', ''), '([@._-]([0-9]+x|[0-9]{{2,5}}x[0-9]{{2,5}}|large|larger|small|smaller|medium|thumb|thumbnail|scaled|resized|full|original|orig|min|hd|retina|mobile|tablet|desktop))+$', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+def _selection_sql(deck: bool, most: int, budget: int, gate: int | None, ceiling: int, wanted: str = "true", icons: bool = False, sprites: bool = False, ids: str | None = None) -> str:
+    """Rows with drop_reason, by literal rules; a budget or ceiling of 0 is none."""
+    kinds = f"role NOT IN ('sprite-symbol'{"" if icons else ", 'icon'"})" if not sprites else "true" if icons else "role <> 'icon'"
+    small = "true" if gate is None else f"kind = 'svg' OR role IN ('site-logo', 'logo', 'favicon'{", 'icon'" if icons else ""}) OR greatest(width, height) >= {gate}"
+    steps = [("unavailable", "SELECT * FROM {} WHERE url IS NOT NULL"), ("filter", f"SELECT * FROM {{}} WHERE {ids or wanted}")]
+    if deck and not ids:
+        steps += [("profile", f"SELECT * FROM {{}} WHERE {kinds}"), ("extra-favicon", f"SELECT * FROM {{}} QUALIFY role <> 'favicon' OR row_number() OVER (PARTITION BY page_id, role = 'favicon' ORDER BY {_PREF}) = 1")]
+    if not ids:
+        steps += [("small", f"SELECT * FROM {{}} WHERE {small}"), ("too-large", f"SELECT * FROM {{}} WHERE {f'coalesce(bytes, 0) <= {ceiling}' if ceiling else 'true'}")]
+    if deck and not ids:
+        steps += [("vector-preferred", "SELECT * FROM {} QUALIFY kind = 'svg' OR slug = '' OR NOT bool_or(kind = 'svg') OVER (PARTITION BY page_id, slug)")]
+    if not ids:
+        steps += [("duplicate", f"SELECT * FROM {{}} QUALIFY row_number() OVER (PARTITION BY page_id, sha1 ORDER BY {_PREF}) = 1")]
+    parts, before = [f"s0 AS (SELECT *, {_SLUG.format("filename")} AS slug FROM {o(r.ASSETS)})"], "s0"
+    for i, (_, sql) in enumerate(steps, 1):
+        parts.append(f"s{i} AS ({sql.format(before)})")
+        before = f"s{i}"
+    parts += [
+        f"p AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS pool, floor({most} * count(*) OVER (PARTITION BY page_id, kind) / (count(*) OVER (PARTITION BY page_id))::DOUBLE) AS quota, row_number() OVER (PARTITION BY page_id, kind ORDER BY score DESC, ord, id) AS k FROM {before})",
+        f"q AS (SELECT *, pool <= {most} OR k <= quota AS first FROM p)", f"u AS (SELECT *, {most} - sum(first::INT) OVER (PARTITION BY page_id) AS room, row_number() OVER (PARTITION BY page_id, first ORDER BY score DESC, ord, id) AS rest FROM q)",
+        "capped AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord, id) AS n FROM u WHERE first OR rest <= room)",
+        f"g AS (SELECT page_id, n, id, coalesce(bytes, 0) <= {budget or 10**15} AS fits, CASE WHEN coalesce(bytes, 0) <= {budget or 10**15} THEN coalesce(bytes, 0) ELSE 0 END::BIGINT AS spent FROM capped WHERE n = 1 UNION ALL SELECT s.page_id, s.n, s.id, g.spent + coalesce(bytes, 0) <= {budget or 10**15}, (g.spent + CASE WHEN g.spent + coalesce(bytes, 0) <= {budget or 10**15} THEN coalesce(bytes, 0) ELSE 0 END)::BIGINT FROM g JOIN capped s ON s.page_id = g.page_id AND s.n = g.n + 1)",
+    ]
+    names = [reason if reason != "profile" else "CASE WHEN s0.role = 'icon' THEN 'icon' ELSE 'sprite' END" for reason, _ in steps]
+    reasons = "CASE " + " ".join(f"WHEN s{i}.id IS NULL THEN {n if n.startswith('CASE') else repr(n)}" for i, n in enumerate(names, 1)) + " WHEN capped.id IS NULL THEN 'cap' WHEN NOT g.fits THEN 'over-budget' END"
+    joined = " ".join(f"LEFT JOIN {t} ON {t}.id = s0.id" for t in [*(f"s{i}" for i in range(1, len(steps) + 1)), "capped", "g"])
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT s0.*, {reasons} AS drop_reason FROM s0 {joined}"
+
+
+_DEFAULT = _selection_sql(True, 20, 10_000_000, 600, 8388608)
 _OPTIONS = selection.Options(most=20, most_bytes=10_000_000)
 
 
-@query(r.ASSETS, f"{_SELECT} SELECT s0.page_id, s0.id, {_REASONS} AS drop_reason {_JOINED}")
+@query(r.ASSETS, f"SELECT page_id, id, drop_reason FROM ({_DEFAULT})")
 def e4_select_assets(df):
     return selection.select_assets(df, _OPTIONS).select("page_id", "id", "drop_reason")
 
 
-@query(r.ASSETS, f"{_SELECT} SELECT s0.page_id, coalesce({_REASONS}, 'kept') AS drop_reason, count(*) AS n, sum(s0.bytes)::BIGINT AS bytes {_JOINED} GROUP BY ALL")
+@query(r.ASSETS, f"SELECT page_id, id, drop_reason FROM ({_selection_sql(False, 60, 25 * 1048576, None, 0)})")
+def e4_select_all_profile(df):
+    return selection.select_assets(df, selection.Options(profile="all")).select("page_id", "id", "drop_reason")
+
+
+@query(r.ASSETS, f"SELECT page_id, id, drop_reason FROM ({_selection_sql(False, 60, 25 * 1048576, None, 900_000, "kind = 'image' AND contains(lower(name), 'hero_2')")})")
+def f4_f7_named_filters(df):
+    return selection.select_assets(df, selection.Options(profile="all", kinds=("image",), name_contains="Hero_2", most_file_bytes=900_000)).select("page_id", "id", "drop_reason")
+
+
+@query(r.ASSETS, f"SELECT page_id, id, drop_reason FROM ({_selection_sql(True, 15, 0, 600, 8388608, "role IN ('icon', 'sprite-symbol', 'logo', 'favicon')", icons=True, sprites=True)})")
+def f5_named_roles(df):
+    return selection.select_assets(df, selection.Options(roles=("icon", "sprite-symbol", "logo", "favicon"), most=15, most_bytes=0)).select("page_id", "id", "drop_reason")
+
+
+@query(r.ASSETS, f"SELECT page_id, id, drop_reason FROM ({_selection_sql(True, 60, 5_000_000, 900, 0, icons=True)})")
+def f6_size_gate(df):
+    return selection.select_assets(df, selection.Options(include_icons=True, min_long_side=900, most_file_bytes=0, most_bytes=5_000_000)).select("page_id", "id", "drop_reason")
+
+
+_IDS = [f"asset:{n}" for n in range(1, 400, 3)]
+
+
+@query(r.ASSETS, f"SELECT page_id, id, drop_reason FROM ({_selection_sql(True, 4, 0, None, 0, ids=f"id IN (SELECT sha1('asset:' || n) FROM range(1, 400, 3) t(n))")})")
+def f3_explicit_ids(df):
+    ids = tuple(hashlib.sha1(x.encode()).hexdigest() for x in _IDS)
+    return selection.select_assets(df, selection.Options(ids=ids, most=4)).select("page_id", "id", "drop_reason")
+
+
+@query(r.ASSETS, f"SELECT page_id, coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM ({_DEFAULT}) GROUP BY ALL")
 def a15_drop_reasons(df):
     return selection.dropped(selection.select_assets(df, _OPTIONS))
 
 
+@query(r.ASSETS, f"SELECT k.page_id, k.id AS kept_id, string_agg(d.id, ',' ORDER BY d.score DESC, d.ord, d.id) AS dropped_ids FROM ({_DEFAULT}) k JOIN ({_DEFAULT}) d ON d.page_id = k.page_id AND d.sha1 = k.sha1 AND d.drop_reason = 'duplicate' WHERE k.drop_reason IS NULL GROUP BY ALL")
+def d3_duplicate_groups(df):
+    return selection.duplicate_groups(selection.select_assets(df, _OPTIONS)).withColumn("dropped_ids", F.array_join("dropped_ids", ","))
+
+
 @query(r.ASSETS, f"""WITH RECURSIVE a AS (SELECT page_id, ord, id, coalesce(bytes, 0) AS b, row_number() OVER (PARTITION BY page_id ORDER BY ord, id) AS n FROM {o(r.ASSETS)}),
   f AS (SELECT page_id, ord, id, n, 0::BIGINT AS batch, b AS spent FROM a WHERE n = 1 UNION ALL SELECT a.page_id, a.ord, a.id, a.n, f.batch + (f.spent + a.b > 4000000)::BIGINT, CASE WHEN f.spent + a.b > 4000000 THEN a.b ELSE f.spent + a.b END FROM f JOIN a ON a.page_id = f.page_id AND a.n = f.n + 1)
   SELECT page_id, ord, id, batch FROM f""")
@@ -316,9 +377,15 @@ def r8_page_of_list(df):
     return df.orderBy(*assets.sort_keys("relevance")).offset(100).limit(50).select("page_id", "id")
 
 
-@query(None, "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages WHERE regexp_extract(html, '<title>([^<]*)</title>', 1) NOT LIKE '%&%'")
+_DECODED = "nullif(regexp_extract(html, '<title[^>]*>([^<]*)</title', 1, 's'), '')"
+for _name, _mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
+    _DECODED = f"replace({_DECODED}, '&{_name};', '{_mark}')"
+
+
+# The tables' titles have named references alone, and none that another one makes.
+@query(None, f"SELECT page_id, trim({_DECODED}) AS title FROM pages")
 def s2_titles(spark, sf_dir):
-    return parsers.heads(spark.read.parquet(f"{sf_dir}/pages.parquet")).filter("title not like '%&%'").select("page_id", "title")
+    return parsers.heads(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "title")
 
 
 @query(None, """SELECT page_id, unnest(range(len(h)))::BIGINT AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)""")

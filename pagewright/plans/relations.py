@@ -37,12 +37,14 @@ FROM {lineitem} WHERE l_partkey % 55 % 4 <> 1
 """
 URLS = """
 SELECT p_partkey AS id, p_partkey % 10 AS page_id,
-  CASE p_partkey % 16 WHEN 0 THEN concat('https://www.google-analytics.com/collect?v=', CAST(p_size AS STRING)) WHEN 1 THEN 'https://s.pinimg.com/ct/lib/main.png'
+  CASE p_partkey % 21 WHEN 16 THEN concat('https://shop.example/a.png?next=/track/', CAST(p_size AS STRING)) WHEN 17 THEN 'data:image/svg+xml,%3Csvg/%3E' WHEN 18 THEN concat('https://shop.example/b.png?w=', CAST(p_size AS STRING))
+    WHEN 19 THEN 'HTTPS://Pic.Example.com:8443/x/y.gif?v=2#frag' WHEN 20 THEN 'https://trk.example/collect/' WHEN 0 THEN concat('https://www.google-analytics.com/collect?v=', CAST(p_size AS STRING)) WHEN 1 THEN 'https://s.pinimg.com/ct/lib/main.png'
     WHEN 2 THEN concat('https://shop.example/track/hero', CAST(p_size AS STRING), '.png') WHEN 3 THEN 'https://a.example.org/i/spacer.gif' WHEN 4 THEN 'ftp://x.example/a.png'
     WHEN 5 THEN 'https://cdn.cookielaw.org/logo.svg' WHEN 6 THEN 'https://static.intercomcdn.com/a.png' WHEN 7 THEN 'data:image/png;base64,AAAA'
     WHEN 8 THEN 'https://i.pinimg.com/736x/ab/cd/photo.jpg' WHEN 9 THEN 'https://News.BBC.co.uk/Pic.JPEG?x=1' WHEN 10 THEN 'https://www.example.com/a/b.AVIF#top' WHEN 11 THEN 'blob:https://x/1'
     ELSE concat('https://img', CAST(p_size AS STRING), '.example.net/p/', CAST(p_partkey AS STRING), '.webp') END AS url,
-  CASE WHEN p_partkey % 17 = 0 THEN 'text/html; charset=utf-8' WHEN p_partkey % 5 = 0 THEN 'image/jpeg' END AS content_type,
+  CASE WHEN p_partkey % 17 = 0 THEN 'text/html; charset=utf-8' WHEN p_partkey % 13 = 0 THEN 'application/x-binary' WHEN p_partkey % 5 = 0 THEN 'Image/jpeg' END AS content_type,
+  CASE WHEN p_partkey % 4 = 0 THEN '<svg><g/></svg>' WHEN p_partkey % 4 = 1 THEN '<svg><path d="M0 0"/></svg>' WHEN p_partkey % 4 = 2 THEN '<svg><filter><feGaussianBlur/></filter><image href="x"/></svg>' END AS svg_text,
   CAST(CASE WHEN p_partkey % 19 = 0 THEN 2 ELSE p_size END AS DOUBLE) AS width, CAST(CASE WHEN p_partkey % 19 = 0 THEN 1 ELSE p_size * 3 END AS DOUBLE) AS height
 FROM {part}
 """
@@ -53,10 +55,14 @@ FROM {orders}
 """
 REQUESTS = "SELECT event_id AS request_id, ts, user_id AS client, CAST(floor(value * 100) AS BIGINT) AS bytes, event_type AS type FROM {events}"
 MEMBERS = """
-SELECT p_partkey % 20 AS page_id, p_partkey AS idx, CASE WHEN p_partkey % 4 = 0 THEN 'svg' ELSE 'image' END AS kind,
-  CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 7 % 1009 % 90 END AS grp, concat('k', CAST(p_partkey * 31 % 997 AS STRING)) AS variant_key,
+SELECT page_id, n * 20 + page_id AS idx, kind, grp1, grp2, preferred_group, art_directed,
+  CASE WHEN page_id = 7 THEN concat('chain', CAST(CAST(floor(n / 2) AS BIGINT) AS STRING)) ELSE variant_key END AS variant_key,
+  CASE WHEN page_id = 7 THEN concat('link', CAST(CAST(floor((n + 1) / 2) AS BIGINT) AS STRING)) ELSE sha1 END AS sha1, size_score
+FROM (SELECT p_partkey % 20 AS page_id, CAST(floor(p_partkey / 20) AS BIGINT) AS n, CASE WHEN p_partkey % 4 = 0 THEN 'svg' ELSE 'image' END AS kind,
+  CASE WHEN p_partkey % 3 = 0 THEN p_partkey * 7 % 1009 % 90 END AS grp1, CASE WHEN p_partkey % 6 = 0 THEN p_partkey * 11 % 1009 % 90 END AS grp2,
+  CASE WHEN p_partkey % 12 = 0 THEN p_partkey * 11 % 1009 % 90 END AS preferred_group, p_partkey % 15 = 0 AS art_directed, concat('k', CAST(p_partkey * 31 % 997 AS STRING)) AS variant_key,
   CASE WHEN p_partkey % 5 = 0 THEN concat('h', CAST(p_partkey * 13 % 499 AS STRING)) END AS sha1, CAST(p_size * p_partkey % 1000 AS DOUBLE) AS size_score
-FROM {part}
+  FROM {part})
 """
 
 

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+_TEMP: str | None = None
 
 
 def reachable(spark: SparkSession) -> None:
@@ -19,9 +20,22 @@ def reachable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a temporary one if driver and executors are one machine; a cluster must name it."""
+    global _TEMP
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _TEMP = found = _TEMP or tempfile.mkdtemp(prefix="pagewright-")
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut a lineage with a checkpoint in the session's shared folder; a temporary folder is set only where there is none."""
+    """Cut a lineage with a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pagewright-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

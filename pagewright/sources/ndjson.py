@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import folds
+
 
 def read(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One JSON object for each line; malformed lines give nulls."""
@@ -20,18 +22,12 @@ def write(df: DataFrame, path: str) -> None:
     encoded(df).write.text(path)
 
 
-def batches(rows: DataFrame, key: str, order: list[str], n_bytes: str, most: int) -> DataFrame:
-    """``rows`` with a batch number: rows are packed in order while a batch's bytes stay within ``most``; a larger row is alone.
-
-    A fold over a key's rows (a page's assets, which the scan caps)."""
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(n_bytes).alias("b")))).alias("x"))
-    start = F.struct(F.lit(-1).cast("long").alias("batch"), F.lit(most + 1).cast("long").alias("spent"), F.array().cast("array<bigint>").alias("out"))
+def line_bytes(df: DataFrame) -> DataFrame:
+    """``df`` with line_bytes: the bytes of each row's line with its line end."""
+    return df.withColumn("line_bytes", (F.octet_length(F.to_json(F.struct("*"), {"ignoreNullFields": "true"})) + 1).cast("long"))
 
-    def step(acc, x):
-        fits = acc["spent"] + x["b"] <= most
-        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
-        return F.struct(batch.alias("batch"), F.when(fits, acc["spent"] + x["b"]).otherwise(x["b"]).cast("long").alias("spent"), F.array_append(acc["out"], batch).alias("out"))
 
-    numbered = packed.select(key, F.explode(F.arrays_zip("x", F.aggregate("x", start, step)["out"].alias("batch"))).alias("z"))
-    first = lambda c: F.col(f"z.x.{c}").alias(c)
-    return numbered.select(key, *[first(c) for c in order], F.col("z.batch").alias("batch"))
+def batches(rows: DataFrame, key: str, order: list[str], n_bytes: str, most: int) -> DataFrame:
+    """key, order and batch: rows are packed in order while a batch's bytes stay within ``most``; a larger row is alone."""
+    slim = rows.select(key, *order, n_bytes)
+    return folds.folded(slim, key, [F.col(c) for c in order], n_bytes, (-1, 0), folds.packing(most), "batch").drop(n_bytes)
