@@ -5,22 +5,30 @@ the model's vocabulary; all others are 16 kinds of rare word (by their last
 character, length and alphabet), and a rare word's probability is its kind's,
 from the recurrent model, times its smoothed share of the kind, from the counts.
 
-The model is trained by parameter averaging: in each round every task trains a
-copy on its own documents, and the copies' token-weighted mean goes on.
-Vectors are summed in about sqrt(tasks) tasks first, so the driver receives that
-many.  Counts of common words go to every task (at most HOT_WORDS); the others
-meet their documents' rare words in a join.
+Texts are then coded once: a table has each document's model ids (two bytes a
+token) and its rare words, and both training and scoring read that.  Training
+documents are dealt by their id into shards of about SHARD_TOKENS tokens, of
+which the rounds take 1, 2, 4, 8 and so on, each shard in one round: a copy of
+the model is trained on each shard of a round, in the order of the ids, and the
+copies' token-weighted mean goes on.  So the rounds grow with the data, and as
+means are exact sums of integers, the model does not depend on how the data are
+partitioned.  Vectors are summed in the tasks and then in about sqrt(tasks)
+tasks, so the driver receives that many.  Counts of common words go to every
+task (at most HOT_WORDS); the others meet their documents' rare words in a join.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +38,15 @@ from .common import map_batches, materialize, texts_of
 CLASSES, WORDS, HIDDEN, EMBED = 32, 32, 16, 16
 KINDS = 16
 HOT_WORDS = 1 << 18
-RATE = 0.03
-#: Shares of the training documents, in sixteenths, that the rounds take.
-ROUNDS = ((0, 4), (4, 16))
+RATE = 0.05
+#: Tokens that a shard of the training documents has about, and the least number of shards.
+SHARD_TOKENS, LEAST_SHARDS = 500_000, 8
+#: Tasks of a training round; more shards than that share tasks.
+MOST_TASKS = 20_000
+#: Parameters are averaged as integers of this unit, weighted by so many tokens.
+UNIT, WEIGHT_TOKENS = 2.0**-24, 512
 #: Tokens that are packed into lanes together, and distinct words that a task holds.
 BLOCK_TOKENS, HELD_WORDS = 600_000, 600_000
-#: Times that a block is gone through, whatever its size.
-PASSES = 2
 END = -1
 _MARK, _PAUSE = frozenset(b".!?"), frozenset(b",;:*#$%&\"')")
 
@@ -145,67 +155,93 @@ def model_ids(codes: np.ndarray, statistics: Statistics) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and word codes of enough documents to fill the lanes."""
-    ids, docs, tokens = [], [], 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            words = text.lower().split()
-            ids.append(doc)
-            docs.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
-            tokens += len(words) + 1
-            if tokens >= BLOCK_TOKENS:
-                yield ids, docs
-                ids, docs, tokens = [], [], 0
-    if ids:
-        yield ids, docs
-
-
 def _model(statistics: Statistics) -> gru.Model:
     return gru.Model(CLASSES, WORDS, HIDDEN, EMBED, statistics.unigram)
 
 
-def learn(model: gru.Model, optimizer: gru.Adam, ids: list[np.ndarray]) -> int:
-    """Train on a block's documents; returns their tokens."""
-    for _ in range(PASSES):
-        tokens = gru.train(model, optimizer, ids)
-    return tokens
+def coded(docs: DataFrame, learns: Column, shared: Broadcast) -> DataFrame:
+    """Each row's row (a number), doc_id, learns, model ids (uint16), counts and logs of its hot words, and rare words with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        codes = Codes(own)
+        hot_base = own.base_log(own.counts.astype(np.float64))
+        hot_rare = np.where(np.arange(len(own.keys)) < own.vocabulary, 0.0, own.rare_log(own.counts.astype(np.float64), own.keys & 15))
+        end = float(own.base_log(np.array([float(own.ends)]))[0])
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(7)]
+            for text in texts_of(batch.column(1)):
+                words = text.lower().split()
+                d = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
+                hot = d[d >= 0]
+                keys, times = np.unique(-1 - d[d < 0], return_counts=True)
+                values = (model_ids(d, own).astype("<u2").tobytes(), len(d) + 1, len(hot) + (own.ends > 0), float(hot_base[hot].sum()) + end, float(hot_rare[hot].sum()), keys, times)
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), batch.column(2), *arrays], ["row", "doc_id", "learns", "ids", "n_tokens", "n_known", "base_score", "hot_score", "rare", "times"])
+            row += batch.num_rows
+
+    return materialize(map_batches(docs.withColumn("learns", learns), run, "row long, doc_id long, learns boolean, ids binary, n_tokens long, n_known long, base_score double, hot_score double, rare array<long>, times array<long>"), "lm-coded")
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2").astype(np.int32) for x in column.to_pylist()]
 
 
-def train(docs: DataFrame, statistics: Statistics) -> np.ndarray:
-    """Parameters after all rounds; each training document is used in one round, with its whole text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(statistics)
+def learn(model: gru.Model, docs: Iterator[np.ndarray], rate: float) -> int:
+    """One pass over a shard's documents, every window backpropagated; returns their tokens.  BLOCK_TOKENS tokens are held at once."""
+    optimizer, block, held, seen = gru.Adam(model, rate), [], 0, 0
+    for d in docs:
+        block.append(d)
+        held += len(d)
+        if held >= BLOCK_TOKENS:
+            seen += gru.train(model, optimizer, block)
+            block, held = [], 0
+    return seen + (gru.train(model, optimizer, block) if block else 0)
+
+
+def _summed(weight: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([weight], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["weight", "total"])
+
+
+def train(rows: DataFrame, statistics: Statistics, shared: Broadcast, shard_tokens: int = SHARD_TOKENS, least_shards: int = LEAST_SHARDS) -> np.ndarray:
+    """Parameters after all rounds.  ``rows`` (doc_id, ids): each is used in one round, whole.  Rows that repeat an id are in one shard."""
+    spark = rows.sparkSession
     vector = _model(statistics).vector()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    for r, (lo, hi) in enumerate(ROUNDS):
+    n = max(least_shards, -(-statistics.n // shard_tokens))
+    sharded = rows.select(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(n)).alias("shard"), "doc_id", "ids")
+    at, size, r = 0, 1, 0
+    while at < n:
         start = spark.sparkContext.broadcast(vector)
 
         def run(batches: Iterator[pa.RecordBatch], start=start, r=r) -> Iterator[pa.RecordBatch]:
-            own, codes = shared.value, None
-            model = _model(own).load(start.value)
-            optimizer, seen = gru.Adam(model, RATE / (1 + r)), 0
-            codes = Codes(own)
-            for _, block in _blocks(batches, codes):
-                seen += learn(model, optimizer, [model_ids(d, own) for d in block])
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([model.vector().tobytes()], pa.binary())], ["weight", "vector"])
+            own, weight, total = shared.value, 0, 0
+            docs = ((s, d) for batch in batches for s, d in zip(batch.column(0).to_pylist(), _ids(batch.column(1)), strict=True))
+            for _, group in groupby(docs, key=itemgetter(0)):
+                model = _model(own).load(start.value)
+                w = max(1, learn(model, (d for _, d in group), RATE / (1 + r)) // WEIGHT_TOKENS)
+                weight, total = weight + w, total + w * np.rint(model.vector().astype(np.float64) / UNIT).astype(np.int64)
+            if weight:
+                yield _summed(weight, total)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weight, total = 0.0, 0.0
+            weight, total = 0, 0
             for batch in batches:
                 for w, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    weight, total = weight + w, total + w * np.frombuffer(v, np.float32).astype(np.float64)
+                    weight, total = weight + w, total + np.frombuffer(v, np.int64)
             if weight:
-                yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["weight", "vector"])
+                yield _summed(weight, total)
 
-        own_share = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(16))
-        copies = map_batches(texts.filter((own_share >= lo) & (own_share < hi)), run, "weight double, vector binary")
-        few = max(1, round(copies.rdd.getNumPartitions() ** 0.5))
-        sums = map_batches(copies.repartition(few), add, "weight double, vector binary").collect()
+        tasks = min(size, n - at, MOST_TASKS)
+        own = sharded.filter((F.col("shard") >= at) & (F.col("shard") < at + size)).repartition(tasks, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+        copies = map_batches(own.select("shard", "ids"), run, "weight long, total binary")
+        sums = map_batches(copies.repartition(max(1, round(tasks**0.5))), add, "weight long, total binary").collect()
         if sums:
-            weights = np.array([x["weight"] for x in sums])
-            vector = np.average([np.frombuffer(x["vector"], np.float32) for x in sums], axis=0, weights=weights).astype(np.float32)
+            vector = (sum(np.frombuffer(x["total"], np.int64) for x in sums) / sum(x["weight"] for x in sums) * UNIT).astype(np.float32)
+        at, size, r = at + size, 2 * size, r + 1
     return vector
 
 
@@ -218,34 +254,32 @@ def score_documents(docs: DataFrame, training: Column | None = None) -> DataFram
     an empty result; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    learns = remainder() != 2 if training is None else training
+    learns = remainder() != 2 if training is None else F.coalesce(training, F.lit(False))
     counts = materialize(word_counts(docs.filter(learns)), "lm-counts")
     statistics = Statistics(counts)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((statistics, train(docs.filter(learns), statistics)))
+    shared = docs.sparkSession.sparkContext.broadcast(statistics)
+    rows = coded(docs, learns, shared)
+    trained = docs.sparkSession.sparkContext.broadcast(train(rows.filter("learns"), statistics, shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vector = shared.value
-        model, codes = _model(own).load(vector), Codes(own)
-        hot_base = own.base_log(own.counts.astype(np.float64))
-        hot_rare = np.where(np.arange(len(own.keys)) < own.vocabulary, 0.0, own.rare_log(own.counts.astype(np.float64), own.keys & 15))
-        end = float(own.base_log(np.array([float(own.ends)]))[0])
-        row = TaskContext.get().partitionId() << 33
-        for ids, block in _blocks(batches, codes):
-            scores = gru.score(model, [model_ids(d, own) for d in block]) / np.log(10)
-            known, base, keys, times = [], [], [], []
-            for i, d in enumerate(block):
-                hot = d[d >= 0]
-                known.append(len(hot) + (own.ends > 0))
-                base.append(float(hot_base[hot].sum()) + end)
-                scores[i] += float(hot_rare[hot].sum())
-                k, t = np.unique(-1 - d[d < 0], return_counts=True)
-                keys.append(k)
-                times.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.int64()), pa.array([len(d) + 1 for d in block], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"])
-            row += len(ids)
-
-    rows = materialize(map_batches(docs, run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<long>"), "lm-rows")
+        model = _model(shared.value).load(trained.value)
+
+        def scored(block: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(block).combine_chunks().to_batches()[0]
+            score = gru.score(model, _ids(table.column("ids"))) / np.log(10) + table.column("hot_score").to_numpy()
+            return pa.RecordBatch.from_arrays([*[table.column(c) for c in ("row", "doc_id", "n_tokens", "n_known", "base_score")], pa.array(score)], ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+        block, held = [], 0
+        for batch in batches:
+            block.append(batch)
+            held += pc.sum(batch.column("n_tokens")).as_py() or 0
+            if held >= BLOCK_TOKENS:
+                yield scored(block)
+                block, held = [], 0
+        if held:
+            yield scored(block)
+
+    scores = map_batches(rows.select("row", "doc_id", "n_tokens", "n_known", "base_score", "hot_score", "ids"), run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("t"))
     c = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     kinds = F.array(*[F.lit(float(x + y + 1)) for x, y in zip(statistics.rare_n, statistics.rare_v, strict=True)])
@@ -255,4 +289,4 @@ def score_documents(docs: DataFrame, training: Column | None = None) -> DataFram
         F.sum(F.col("t") * F.log10((c + 1) / F.element_at(kinds, (F.col("key").bitwiseAND(15) + 1).cast("int")))).alias("more_score"),
     )
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return rows.drop("rare", "times").join(joined, "row", "left").select("doc_id", (remainder() == 2).alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(statistics.n).cast("long").alias("train_tokens"), (F.col("base_score") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))
+    return scores.join(joined, "row", "left").select("doc_id", (remainder() == 2).alias("held_out"), "n_tokens", (F.col("n_known") + zero("more_known")).alias("n_known"), F.lit(statistics.n).cast("long").alias("train_tokens"), (F.col("base_score") + zero("more_base")).alias("base_score"), (F.col("score") + zero("more_score")).alias("score"))

@@ -136,12 +136,105 @@ def test_mix_meets_its_targets(spark):
     assert sorted(out.collect()) == sorted(mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).collect())
 
 
+def test_mix_targets_by_repeated_resharing(spark):
+    """Targets against sharing the excess again and again until no source is above its cap."""
+    rng = np.random.default_rng(8)
+    sizes = {f"s{i:02}": int(rng.integers(0, 5000)) if i % 4 else int(rng.integers(0, 40)) for i in range(23)}
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(sorted(sizes))}
+    want, total = {}, float(sum(sizes.values()))
+    while True:
+        rest = {x: w for x, w in weight.items() if x not in want}
+        left = total - sum(want.values())
+        share = {x: left * w / sum(rest.values()) for x, w in rest.items()}
+        above = {x: 3.0 * sizes[x] for x in rest if share[x] > 3 * sizes[x]}
+        if not above:
+            break
+        want |= above
+    want |= share
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))
+    assert {r["source"]: r["target"] for r in got.collect()} == pytest.approx(want)
+
+
+def test_mix_inclusion_over_seeds(spark):
+    """How often a document is in the sample against its inclusion probability, which differs between documents of one source."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "w " * int(2 ** rng.integers(0, 9)), f"s{i % 2}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    seen, p = Counter(), {}
+    seeds = 25
+    for seed in range(seeds):
+        for r in mixing.mix(docs, weights=(3, 1), seed=f"seed{seed}").collect():
+            whole = math.floor(r["target"] / r["source_size"])
+            seen[r["doc_id"]] += r["copies"] - whole
+            p[r["doc_id"]] = r["p"]
+    groups = {}
+    for i, t, s in rows:
+        groups.setdefault((s, len(t)), []).append(i)
+    for members in groups.values():
+        expected = p[members[0]]
+        assert {p[i] for i in members} == {expected}
+        mean = sum(seen[i] for i in members) / seeds / len(members)
+        assert abs(mean - expected) < 0.05, (expected, mean)
+    assert len(set(p.values())) > 10
+
+
 def test_radix_cut(spark):
-    values = [5, 900_000_000_000, 7, 7, 2**62, 65536, 65537]
+    values = [5, 900_000_000_000, 7, 7, 2**62, 65536, 65537, -1, -(2**63)]
     df = spark.createDataFrame([(v,) for v in values], "bits long")
     for k in range(1, len(values) + 1):
-        assert quality.radix_cut(df, k) == sorted(values, reverse=True)[k - 1]
-    assert quality.radix_cut(df, 8) is None
+        assert quality.radix_cut(df, k) == sorted((v % 2**64 for v in values), reverse=True)[k - 1]
+    assert quality.radix_cut(df, len(values) + 1) is None
+
+
+def test_resampling_by_brute_force(spark):
+    """n-gram models, weights, noise and the k greatest keys, worked out text by text."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"{'good' if i % 3 else 'Bad!'}{int(rng.integers(30))}" for _ in range(int(rng.integers(1, 60))))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(0, 300, 2)], LABELS)
+    sample = quality.labelled_sample(labels)
+    features = quality.Features()
+    grams = {i: Counter(features(t.encode()).tolist()) for i, t in rows}
+    raw, target = Counter(), Counter()
+    for i, g in grams.items():
+        raw.update(g)
+        if sample.get(i) == (1, True):
+            target.update(g)
+    share = lambda c, x: math.log((c[x] + 1) / (sum(c.values()) + quality.BUCKETS))
+    ratio = {x: share(target, x) - share(raw, x) for x in raw}
+    weight = {i: sum(n * ratio[x] for x, n in g.items()) * 200 / (sum(g.values()) + 200) for i, g in grams.items()}
+    key = {i: w + quality.gumbel(i) for i, w in weight.items()}
+    for k in (1, 40, 299):
+        got = {r["doc_id"]: r for r in quality.resample(docs, labels, k=k).collect()}
+        assert {i: r["weight"] for i, r in got.items()} == pytest.approx(weight) and {i: r["key"] for i, r in got.items()} == pytest.approx(key)
+        assert {i for i, r in got.items() if r["kept"]} == set(sorted(key, key=key.get)[-k:])
+    drawn = Counter(d for seed in range(30) for d in sorted(key, key=lambda i: weight[i] + quality.gumbel(i, f"s{seed}"))[-40:])
+    assert len(drawn) > 40  # another seed draws other documents
+
+
+def test_isolation_forest_by_brute_force():
+    """Path lengths walked node by node, and anomalies apart from what the trees were grown on."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (400, 3))
+    forest = rules.IsolationForest(x, trees=20, psi=64)
+    rows = np.vstack([x[:20], rng.normal(0, 1, (5, 3)) + 9])
+    want = []
+    for row in rows:
+        total = 0.0
+        for column, split, left, right, path in forest.trees:
+            at = 0
+            while column[at] >= 0:
+                at = left[at] if row[column[at]] < split[at] else right[at]
+            total += path[at]
+        want.append(2 ** (-total / 20 / rules.usual_path(64)))
+    assert forest.score(rows) == pytest.approx(want) and min(want[20:]) > max(want[:20])
+
+
+def test_rule_statistics_by_brute_force():
+    text = "One line #1\none line\nOne line #1\n\n  \nOne line #1\n$5 & <b>é|ü</b>\n" + "alpha beta gamma delta " * 6
+    got = dict(zip(rules.COUNTS, rules.statistics(text.encode(), rules.WordHashes()), strict=True))
+    lines = [x for x in text.split("\n") if x.split()]
+    assert got["n_symbols"] == sum(c in "#*$%&|<>" for c in text) and got["n_dup_lines"] == len(lines) - len(set(lines)) and got["word_chars"] == sum(map(len, text.split()))
 
 
 def test_token_files_round_trip(spark, docs):
@@ -177,7 +270,7 @@ def test_language_model_counts_and_base(docs):
 
 
 @pytest.mark.parametrize("n_docs", [3, 400])
-def test_language_model_trains_on_every_window(n_docs):
+def test_language_model_trains_on_every_window_once(n_docs, monkeypatch):
     class Counting(lm.gru.Model):
         trained = 0
 
@@ -187,7 +280,55 @@ def test_language_model_trains_on_every_window(n_docs):
 
     model = Counting(4, 4, 2, 2)
     block = [np.append(np.full(999, 5, np.int32), 0) for _ in range(n_docs)]
-    assert lm.learn(model, lm.gru.Adam(model, 0.01), block) == n_docs * 1000 and model.trained == 2 * n_docs * 1000
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 70_000)
+    assert lm.learn(model, iter(block), 0.01) == n_docs * 1000 == model.trained
+
+
+def test_language_model_probabilities_sum_to_one():
+    model = lm.gru.Model(4, 4, 3, 2, seed=1)
+    for x in model.p.values():
+        x += np.random.default_rng(2).normal(0, 0.5, x.shape).astype(np.float32)
+    prefix = [3, 9, 1]
+    total = sum(np.exp(lm.gru.score(model, [np.array([*prefix, t], np.int32)])[0]) for t in range(16))
+    assert abs(total / np.exp(lm.gru.score(model, [np.array(prefix, np.int32)])[0]) - 1) < 1e-4
+
+
+def test_language_model_gradients():
+    """Backpropagation against differences of the window's mean log-probability."""
+    rng = np.random.default_rng(4)
+    model = lm.gru.Model(3, 3, 4, 3, seed=3)
+    inputs = np.array([[0, 0], [4, 2], [7, 0], [1, 5]], np.int32)
+    targets = np.array([[4, 2], [7, 0], [1, 5], [8, -1]], np.int32)
+    h = rng.normal(0, 0.5, (2, 4)).astype(np.float32)
+    loss = lambda: -model.step(inputs, targets, h)[2] / 7
+    got = model.step(inputs, targets, h)[0]
+    for name, x in model.p.items():
+        for _ in range(6):
+            at = tuple(int(rng.integers(n)) for n in x.shape)
+            old, e = x[at], np.float32(1e-2)
+            x[at] = old + e
+            up = loss()
+            x[at] = old - e
+            down = loss()
+            x[at] = old
+            assert abs((up - down) / (2 * e) - got[name][at]) < 2e-3, (name, at)
+
+
+def test_language_model_learns_and_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(5)
+    follow = {w: rng.permutation(40)[:3] for w in range(40)}
+
+    def text(n):
+        out = [int(rng.integers(40))]
+        while len(out) < n:
+            out.append(int(rng.choice(follow[out[-1]])))
+        return " ".join(f"w{x}" for x in out)
+
+    rows = [(i, text(120)) for i in range(300)]
+    a, b = ({r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n)).collect()} for step, n in ((1, 3), (-1, 5)))
+    assert {i: r["score"] for i, r in a.items()} == pytest.approx({i: r["score"] for i, r in b.items()}, rel=1e-6)
+    held = [r for r in a.values() if r["held_out"]]
+    assert len(held) > 20 and sum(r["score"] for r in held) > 0.85 * sum(r["base_score"] for r in held)
 
 
 def test_base_rules_by_brute_force(docs, labels):
@@ -224,6 +365,44 @@ def test_style_tree_keeps_the_distinct_pages_among_copies(spark):
     assert {r["page_id"]: r["text"] for r in html.main_text(pages(spark, rows)).collect()} == {i: f"Story number {0 if i % 320 < 170 else i}" for i in range(640)}
 
 
+def test_style_tree_importance_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", "".join(f"<div class=c{j}>{'<i class=k></i>' * int(rng.integers(2))}text {int(rng.integers(1 + 3 * j))}</div>" for j in range(5))) for i in range(60)]
+    want = {}
+    for host in ("a.example", "b.example", ""):
+        seen = {}
+        for page in {html_ for _, url, html_ in rows if host in url or not host}:
+            for path, style, content in html.tree_rows(page):
+                seen.setdefault(path, []).append((style, content))
+        for path, got in seen.items():
+            m = len(got)
+            entropy = lambda i, got=got, m=m: -sum(c / m * math.log(c / m) for c in Counter(x[i] for x in got).values()) / math.log(m) if m > 1 else 1.0
+            want[host, path] = (m, pytest.approx(0.1 * entropy(0) + 0.9 * entropy(1)))
+    got = {(r["host"], r["path"]): (r["pages"], r["importance"]) for r in html.importance(html.tree_nodes(pages(spark, rows))).collect()}
+    assert got == want and len(want) == 15
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="has-sidebar"><article><p>x</p></article>', "x"), ('<article class="post sidebar-right"><p>x</p></article>', "x"), ("<div class=sidebar><article>main text</article></div><div class=comments><article>c</article></div>", "main text"),
+        ("<p title=it's>one<p>two", "one\ntwo"), ("<p class='a hidden b'>x</p><p alt='is hidden here'>y<p hidden>z", "x\ny"), ('<div class="elementor-widget">x</div><div class="widget site-footer">y</div>', "x"),
+        ("<script>var a='<main >'</script><p>x", "x"), ("<p>&<b>amp;</b> &amp;", "&amp; &"), ("a < b <3 </> c <b", "a < b <3 c <b"), ('<p><a href="x>y</a>', "y"), ("<p><a title='x>y'>z</a>", "z"), ("</script>x<textarea>k</textarea >z", "xz"),
+    ],
+)
+def test_main_text_of_odd_markup(page, text):
+    assert html.extract(page) == text
+
+
+@pytest.mark.parametrize("page", ['<p title="x>' * 30_000, "<" * 300_000, "<a b= " * 60_000, "<div>" * 60_000 + "</p>" * 60_000, "<span>" * 60_000 + "<div><li>" * 30_000, "word " * 600_000])
+def test_main_text_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html.extract(page)
+    assert time.process_time() - began < 10
+
+
 def test_style_tree_joins_what_it_does_not_broadcast(spark, monkeypatch):
     rows = [(i, f"http://small{i}.example/", "<body>" + "".join(f"<div class=b{j}>Boilerplate {j}</div>" for j in range(12)) + f"<div class=y>Story number {i}</div>") for i in range(30)]
     monkeypatch.setattr(html, "BROADCAST_ROWS", 5)
