@@ -7,7 +7,7 @@ A-Z only, which is what ``bytes.lower`` does.
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reachable
+from ..session import reachable, shared_folder
 
 #: Java and RE2 spelling of a run of the six white-space characters.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -26,23 +26,9 @@ BROADCAST_ROWS = 200_000
 #: Rows and bytes in one Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS, BATCH_BYTES = 1024, "16m"
 
-_TEMP: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir), or a temporary one where it is unset."""
-    global _TEMP
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if _TEMP is None:
-            _TEMP = tempfile.mkdtemp(prefix="pagewright-")
-        found = _TEMP
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -130,8 +116,19 @@ def shingle_set(text: bytes, hashes: WordHashes, n: int = 5) -> np.ndarray:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow, after which the worker gives back the memory that the task took: workers are used again by later stages."""
     small_batches(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
+            if trim:
+                trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def uniform(column, seed: str):
