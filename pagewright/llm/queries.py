@@ -131,7 +131,7 @@ LINES_SQL = rf"""
 WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
   l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM t),
   k AS (SELECT doc_id, i, {_WORDS.format("line")} AS w FROM l),
-  f AS (SELECT doc_id, i, w, len(w) || ' ' || array_to_string(list_transform(w[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf FROM k WHERE len(w) >= 3),
+  f AS (SELECT doc_id, i, w, len(w) || ' ' || array_to_string(list_transform(w[1:3], lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' ') AS leaf FROM k WHERE len(w) > 0),
   v AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
   h AS (SELECT f.*, array_to_string(w, ' ') AS content FROM f SEMI JOIN v USING (leaf)),
   p AS (SELECT doc_id, i, leaf, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS token FROM h),
@@ -140,7 +140,9 @@ WITH t AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
     FROM p LEFT JOIN x USING (leaf, pos, token)),
   s AS (SELECT doc_id, i, leaf, string_agg(token, ' ' ORDER BY pos) AS template FROM m GROUP BY doc_id, i, leaf HAVING 100 * count(*) FILTER (token <> '<*>') >= 60 * count(*)),
   z AS (SELECT leaf, template FROM s GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
-  g AS (SELECT doc_id, list(i) AS drops FROM s SEMI JOIN z USING (leaf, template) GROUP BY doc_id)
+  e AS (SELECT doc_id, i, array_to_string(w, ' ') AS content FROM k WHERE len(w) > 50),
+  o AS (SELECT content, min(doc_id) AS first FROM e GROUP BY content HAVING count(DISTINCT doc_id) > 1),
+  g AS (SELECT doc_id, list(DISTINCT i) AS drops FROM (SELECT doc_id, i FROM s SEMI JOIN z USING (leaf, template) UNION ALL SELECT doc_id, i FROM e JOIN o USING (content) WHERE doc_id > first) GROUP BY doc_id)
 SELECT t.doc_id, CASE WHEN drops IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(drops, i)), lambda i: ls[i]), chr(10)) END AS text,
   coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(drops), 0)::BIGINT AS n_dropped
 FROM t LEFT JOIN g USING (doc_id)
