@@ -3,13 +3,15 @@
 Test items are partitioned by the size of their shingle sets (powers of two).
 An item's signature is its m least shingle hashes: a uniform sample of its set,
 so the share of the signature that a document holds estimates how much of the
-item the document contains, however long the document is.  Each partition asks
-for as many signature hits as an item at the threshold reaches but for a chance
-of 1e-6 (items of m shingles or fewer: exactly).  Candidates are then verified
-on whole shingle sets.
-
-Items come to the documents in blocks of a bounded size, so the documents are
-not shuffled and nothing that grows with the benchmark is replicated at once.
+item the document contains, however long the document is.  Each partition has
+a bound of its own: the signature hits that each of its items at the threshold
+reaches but for a chance of 1e-6 (items of m shingles or fewer: exactly).
+Candidates are then verified on whole shingle sets.
+
+Items come to the documents in blocks of a bounded size, one after the other:
+the documents are not shuffled, and the driver and every task hold one block's
+index.  A benchmark of several blocks is searched in as many passes over the
+documents, each of which is written before the next begins.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ class ItemIndex:
             if len(found):
                 self.ids.append(item)
                 self.sets.append(found)
-        #: size class -> (signature values in order, owners, hits needed by item)
+        #: One for each size class: signature values in order, their owners, and the hits that an owner needs.
         self.partitions = []
         sizes = np.array([len(s) for s in self.sets])
         for p in sorted({int(x).bit_length() for x in sizes}):
@@ -65,7 +67,7 @@ class ItemIndex:
             values = np.concatenate([self.sets[i][:m] for i in own])
             owners = np.concatenate([np.full(min(m, sizes[i]), i) for i in own])
             order = np.argsort(values, kind="stable")
-            self.partitions.append((values[order], owners[order], {i: hits_needed(int(sizes[i]), percent, m) for i in own}))
+            self.partitions.append((values[order], owners[order], min(hits_needed(int(x), percent, m) for x in {sizes[i] for i in own})))
         self.values = np.unique(np.concatenate([p[0] for p in self.partitions])) if self.partitions else np.empty(0, np.int64)
 
     def search(self, found: np.ndarray) -> list[tuple[int, int, int]]:
@@ -79,17 +81,16 @@ class ItemIndex:
             return out
         for values, owners, needed in self.partitions:
             at = np.minimum(np.searchsorted(held, values), len(held) - 1)
-            hit = owners[held[at] == values]
-            for i, hits in zip(*np.unique(hit, return_counts=True), strict=True):
-                if hits >= needed[i]:
-                    whole = self.sets[i]
-                    common = len(np.intersect1d(whole, found, assume_unique=True))
-                    if 100 * common >= self.percent * len(whole):
-                        out.append((self.ids[i], len(whole), common))
+            own, hits = np.unique(owners[held[at] == values], return_counts=True)
+            for i in own[hits >= needed]:
+                whole = self.sets[i]
+                common = len(np.intersect1d(whole, found, assume_unique=True))
+                if 100 * common >= self.percent * len(whole):
+                    out.append((self.ids[i], len(whole), common))
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, n: int = 5, m: int = SIGNATURE) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, n: int = 5, m: int = SIGNATURE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, n_item, n_common for each row of ``docs`` that holds ``percent`` % of an item's distinct n-word shingles.
 
     An item with fewer than n words is one shingle, which only a text of the same
@@ -99,10 +100,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, n: in
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
+    blocks = max(1, -(-chars // block_chars))
     texts, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), None
     for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = ItemIndex([(r[0], r[1].encode()) for r in own.toLocalIterator()], percent, m, n)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -116,6 +117,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 80, n: in
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "item_id", "n_item", "n_common"])
 
         found = map_batches(texts, run, "doc_id long, item_id long, n_item long, n_common long")
+        if blocks > 1:
+            found = materialize(found, "contaminated")
+            shared.destroy()
         out = found if out is None else out.union(found)
     return out
 
