@@ -63,6 +63,26 @@ def test_leaks(docs, bench):
     assert got == {(d, 1, n, n) for d in (1, 2, 3, 4, None, 11)} | {(8, 4, 1, 1)}
 
 
+def test_leaks_by_brute_force(spark):
+    """Containment of items of many sizes in longer documents, in one block and in several."""
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(words, int(n)))) for i, n in enumerate(rng.choice([3, 5, 8, 20, 60, 200, 700], 40))]
+    items.append((99, items[0][1]))
+    docs = []
+    for d in range(120):
+        text = list(rng.choice(words, int(rng.integers(1, 400))))
+        part = items[int(rng.integers(40))][1].split()
+        part = [f"x{d}" if rng.random() < (0, 0.01, 0.04, 0.2)[d % 4] else w for w in part]
+        docs.append((d, " ".join(text[: d % 50] + part + text[d % 50 :] if d % 7 else part)))
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    want = {(d, i, len(sets(x)), len(sets(x) & sets(t))) for d, t in docs for i, x in items if 100 * len(sets(x) & sets(t)) >= 80 * len(sets(x))}
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 20
+    for chars in (decontam.BLOCK_CHARS, 5000):
+        assert {tuple(r) for r in decontam.contaminated(*frames, block_chars=chars).collect()} == want
+
+
 def test_near_duplicates_through_shared_edits(spark):
     """Chains of copies that are far from the group's centre and linked by edits they share."""
     words = [f"c{i}" for i in range(100)]
@@ -409,6 +429,43 @@ def test_style_tree_joins_what_it_does_not_broadcast(spark, monkeypatch):
     assert {r["text"] for r in html.main_text(pages(spark, [*rows, *rows[:3], (None, None, None)])).collect()} == {"", *(f"Story number {i}" for i in range(30))}
 
 
+def test_line_templates_by_brute_force(spark):
+    """Every template worked out line by line, with a support of 3 documents; long lines word for word."""
+    rng = np.random.default_rng(13)
+    words = [f"w{i}" for i in range(30)]
+    long = [" ".join(rng.choice(words, 60)) for _ in range(4)]
+    rows = []
+    for i in range(40):
+        lines = [f"Posted by user{i} on day {int(rng.integers(9))} of the month", "Menu", " ".join(rng.choice(words, 6)), "a\tb  c " + str(rng.choice(["x", "y", f"z{i}"])), f"only {words[i % 30]}", "", long[i % 40 // 10] if i % 5 == 0 else "Own"]
+        rows.append((i, "\n".join(rng.permutation(lines))))
+    rows += [(0, rows[0][1]), (None, rows[1][1]), (50, None), (51, "")]
+    lines = [(d, n, x.split()) for d, t in rows if d is not None and t is not None for n, x in enumerate(t.split("\n")) if x.split()]
+    digit = lambda t: any(c.isdigit() for c in t)
+    leaf = lambda w: (len(w), *("<*>" if digit(t) else t for t in w[:3]))
+    reach, place = {}, {}
+    for d, _, w in lines:
+        reach.setdefault(leaf(w), set()).add(d)
+        for i, t in enumerate(w):
+            place.setdefault((leaf(w), i, t), set()).add(d)
+    template = lambda w: (leaf(w), tuple(t if len(place[leaf(w), i, t]) >= 3 and not digit(t) else "<*>" for i, t in enumerate(w)))
+    solid = lambda x: 100 * sum(t != "<*>" for t in x[1]) >= 60 * len(x[1])
+    holds = {}
+    for d, _, w in lines:
+        if len(reach[leaf(w)]) >= 3 and solid(template(w)):
+            holds.setdefault(template(w), set()).add(d)
+    first = {}
+    for d, _, w in lines:
+        if len(w) > 50:
+            first[tuple(w)] = min(d, first.get(tuple(w), d))
+    drop = {(d, n) for d, n, w in lines if len(holds.get(template(w), ())) >= 3 or first.get(tuple(w), d) < d}
+    got = {(r["doc_id"], r["text"], r["n_dropped"]) for r in linededup.deduplicated_lines(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    want = set()
+    for d, t in rows:
+        kept = None if t is None else [x for n, x in enumerate(t.split("\n")) if (d, n) not in drop]
+        want.add((d, None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")) - len(kept)))
+    assert got == want and any(n > 50 for n in (len(w) for _, _, w in lines)) and len(drop) > 80
+
+
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 1200
     rows = [(1, "http://a/ b", big), (2, "http://a", big), (3, None, None), (4, "u", "small"), (5, "u", "small"), (None, "u", big)]
