@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more_queries  # noqa: F401  registers its queries
+from .plans import more_queries, scan_queries  # noqa: F401  they register their queries
 from .plans.queries import QUERIES, SQL, flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
