@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import elements
 from ..operators import assets, palette, scans
 from . import more_relations as m
 from . import relations as r
@@ -96,11 +97,11 @@ def j9_wordmark_assets(df):
 _ITEMS = "(SELECT page_id, id, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord, id) AS item FROM " + o(r.ASSETS) + ")"
 
 
-@query(r.ASSETS, f"WITH i AS {_ITEMS} SELECT page_id, id FROM i WHERE item BETWEEN 5 AND 12")
+@query(r.ASSETS, f"WITH i AS {_ITEMS} SELECT page_id, id FROM i WHERE item BETWEEN 2 AND 6")
 def q5_range_selection(df):
     items = assets.ranked(df).select("page_id", "id", F.col("rank").alias("item"))
     end = lambda n, c: items.filter(F.col("item") == n).select("page_id", F.col("id").alias(c))
-    return scans.selected_range(items, end(12, "a").join(end(5, "b"), "page_id"))
+    return scans.selected_range(items, end(6, "a").join(end(2, "b"), "page_id"))
 
 
 @query(r.ASSETS, f"SELECT page_id, id FROM {o(r.ASSETS)} WHERE (ord % 2 = 0) <> (ord % 3 = 0)")
@@ -118,3 +119,34 @@ def a18_summaries(spark, sf_dir):
 @query(r.REQUESTS)
 def t7_proxy_takes(df):
     return scans.proxy_takes(df.withColumn("ts", F.col("ts").cast("timestamp")), 40_000, 400_000)
+
+
+HTMLS = """
+SELECT p_partkey AS page_id, CAST(p_size AS BIGINT) AS n, concat('https://site', CAST(p_size AS STRING), '.example/x/') AS url, CASE p_partkey % 5
+  WHEN 0 THEN concat('<picture><source srcset="/w', CAST(p_size AS STRING), '.webp 2x"><img src="a.png" srcset="a.png 1x, /b', CAST(p_size AS STRING), '.png 2x"></picture>') WHEN 1 THEN concat('<link rel="shortcut icon" href="/i', CAST(p_size AS STRING), '.ico"><meta property="og:image" content="https://cdn.example/o', CAST(p_size AS STRING), '.png#f">')
+  WHEN 2 THEN concat('<style>/* url(no.png) */ a', chr(123), 'background:url(/k', CAST(p_size AS STRING), '.png)', chr(125), ' @font-face', chr(123), 'src:url(f.woff)', chr(125), '</style><video poster="p', CAST(p_size AS STRING), '.jpg"></video>')
+  WHEN 3 THEN concat('<script type="application/ld+json">', chr(123), '"logo":', chr(123), '"url":"/l', CAST(p_size AS STRING), '.svg"', chr(125), '', chr(125), '</script><link rel="manifest" href="/m.json"><div style="background:url(''../q.png'')">') END AS html,
+  CASE WHEN p_partkey % 3 = 0 THEN concat('', chr(123), '"icons":[', chr(123), '"src":"i', CAST(p_size AS STRING), '.png","sizes":"8x8"', chr(125), ',', chr(123), '"sizes":"1x1"', chr(125), ',', chr(123), '"src":"j.svg","type":"image/svg+xml"', chr(125), ']', chr(125), '') WHEN p_partkey % 3 = 1 THEN 'junk' END AS body,
+  CASE p_partkey % 5 WHEN 0 THEN concat('rgb(', CAST(p_size AS STRING), ', 2, 3)') WHEN 1 THEN 'rgba(0, 0, 0, 0.01)' WHEN 2 THEN '#0a0b0c' WHEN 3 THEN concat('RGBA(', CAST(p_size AS STRING), ',0,0,1)') ELSE 'red' END AS color
+FROM {part}
+"""
+
+
+@query(HTMLS, f"""WITH h AS (SELECT *, 'https://site' || n || '.example' AS o FROM {o(HTMLS)})
+  SELECT page_id, unnest(range(4)) AS ord, unnest(['img', 'img', 'img', 'picture']) AS found_in, unnest([url || 'a.png', url || 'a.png', o || '/b' || n || '.png', o || '/w' || n || '.webp']) AS url, unnest([NULL, 1, 2, 2])::DOUBLE AS x FROM h WHERE page_id % 5 = 0
+  UNION ALL SELECT page_id, unnest(range(2)), unnest(['icon-link', 'og-image']), unnest([o || '/i' || n || '.ico', 'https://cdn.example/o' || n || '.png']), NULL FROM h WHERE page_id % 5 = 1
+  UNION ALL SELECT page_id, unnest(range(2)), unnest(['stylesheet', 'video-poster']), unnest([o || '/k' || n || '.png', url || 'p' || n || '.jpg']), NULL FROM h WHERE page_id % 5 = 2
+  UNION ALL SELECT page_id, unnest(range(3)), unnest(['json-ld', 'css-background', 'manifest-link']), unnest([o || '/l' || n || '.svg', o || '/q.png', o || '/m.json']), NULL FROM h WHERE page_id % 5 = 3""")
+def s3_s6_candidates(df):
+    return elements.candidates(df).select("page_id", "ord", "found_in", "url", "x")
+
+
+@query(HTMLS, f"SELECT page_id, unnest([0, 2])::BIGINT AS pos, unnest(['i' || n || '.png', 'j.svg']) AS src, unnest(['8x8', NULL]) AS sizes, unnest([NULL, 'image/svg+xml']) AS type FROM {o(HTMLS)} WHERE page_id % 3 = 0")
+def s9_manifest_icons(df):
+    return elements.manifest_icons(df)
+
+
+@query(HTMLS, f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN '#' || lpad(lower(to_hex(n)), 2, '0') || '0203' WHEN 2 THEN '#0a0b0c' WHEN 3 THEN '#' || lpad(lower(to_hex(n)), 2, '0') || '0000' END AS hex FROM {o(HTMLS)}")
+def p32_css_colors(df):
+    white = F.struct(*[F.lit(255.0).alias(n) for n in "rgb"])
+    return df.select("page_id", elements.over(elements.css_color(F.col("color")), white).alias("hex"))
