@@ -70,7 +70,7 @@ def test_oversized_row_is_alone_in_its_batch(spark):
 
 def test_stream_admits_what_the_batch_admits(spark, tmp_path):
     rows = [(i, 1 + i % 2) for i in range(30)]
-    df = spark.createDataFrame(rows, "request_id long, client long").withColumn("ts", F.timestamp_seconds(F.col("request_id") * 60))
+    df = spark.createDataFrame(rows, "request_id long, client long").withColumn("ts", F.timestamp_seconds(F.col("request_id") * 60 + 1_700_000_000))
     df.write.parquet(str(tmp_path / "in"))
     stream = admission.client_admission_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), per_client=5)
     q = stream.writeStream.format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
