@@ -86,3 +86,9 @@ def test_ring_and_smoothness(spark):
     df = spark.createDataFrame(rows, px)
     assert [r["hex"] for r in palette.ring_color(df).collect()] == ["#c80a0a"]
     assert palette.smoothness(df).first()["smoothness"] == pytest.approx(5 / 8)
+
+
+def test_page_that_shows_no_colour(spark):
+    rows = [(1, "bg", "#ffffff", 9.0, 5), (2, "pix", "#ff0000", 1.0, 1)]
+    got = palette.build_palettes(spark.createDataFrame(rows, SAMPLES)).collect()
+    assert [(r["page_id"], r["hex"]) for r in got] == [(1, "#ffffff")]
