@@ -1,12 +1,15 @@
 """Folds over scans against plain loops, archives, and summaries."""
 
+import datetime
 import io
 import json
 import zipfile
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from pagewright import catalog
 from pagewright.operators import scans
 
 
@@ -75,3 +78,15 @@ def test_summaries_fit(spark):
     text = json.loads(got[0]["summary"])
     assert len(got) == 1 and len(got[0]["summary"].encode()) <= 4096 and text["counts"] == {"assets": 30, "svg": 0, "images": 30, "fonts": 20, "hidden": 3}
     assert len(text["logos"]) == 8 and text["other_assets"] == 22 and len(text["palette"]) == 12 and 0 < len(text["fonts"]) < 12
+
+
+def test_ttl_counters_round_as_the_sql_does(spark, tmp_path):
+    start, path = datetime.datetime(2024, 1, 1), f"{tmp_path}/events.parquet"
+    seconds = [0.6, 259_200.2, 0.5, 259_200.4, 1.5, 259_202.4, 0.4, 259_199.5]
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+        con.executemany("INSERT INTO events VALUES (?, ?, ?, 'view', 1)", [(i, start + datetime.timedelta(seconds=s), i // 2) for i, s in enumerate(seconds)])
+        con.execute(f"COPY events TO '{path}'")
+        want = dict(con.execute(catalog.oracle_sql()["t8_ttl_counters"]).fetchall())
+    got = {r["id"]: r["n"] for r in catalog.queries()["t8_ttl_counters"](spark, str(tmp_path)).collect()}
+    assert got == want and want[1] == 2
