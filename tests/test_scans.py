@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pagewright import catalog
+from pagewright.operators import palette as palettes
 from pagewright.operators import scans
 
 
@@ -80,6 +81,14 @@ def test_summaries_fit(spark):
     assert len(text["logos"]) == 8 and text["other_assets"] == 22 and len(text["palette"]) == 12 and 0 < len(text["fonts"]) < 12
 
 
+def test_summary_of_a_page_without_a_palette(spark):
+    assets = spark.createDataFrame([(p, f"id{p}", "image", "png", "image", "x", 5, 1.0, 1) for p in (1, 2)], "page_id long, id string, role string, format string, kind string, name string, bytes long, score double, ord long")
+    colors = spark.createDataFrame([(1, "bg", "#ffffff", 9.0, 5), (2, "pix", "#ff0000", 1.0, 1)], "page_id long, source string, hex string, weight double, n long")
+    families = spark.createDataFrame([], "page_id long, id string, name string, usage double, used_on_page boolean")
+    got = scans.summaries(assets, palettes.build_palettes(colors), families, spark.createDataFrame([], "page_id long, reason string, n long")).collect()
+    assert {r["page_id"]: [x["hex"] for x in json.loads(r["summary"])["palette"]] for r in got} == {1: ["#ffffff"], 2: []}
+
+
 def test_ttl_counters_round_as_the_sql_does(spark, tmp_path):
     start, path = datetime.datetime(2024, 1, 1), f"{tmp_path}/events.parquet"
     seconds = [0.6, 259_200.2, 0.5, 259_200.4, 1.5, 259_202.4, 0.4, 259_199.5]
