@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pagewright.operators import graph
+from pagewright.operators import assets, graph
 
 
 @pytest.mark.parametrize("local", [0, 10_000])
@@ -17,3 +17,10 @@ def test_a_chain_takes_few_steps(spark, monkeypatch, local):
     got = {(r["page_id"], r["node"]): r["root"] for r in graph.components(spark.createDataFrame(edges, "page_id long, a long, b long")).collect()}
     assert got == {(p, i): 0 for p in (1, 2) for i in range(n)} | {(3, 5): 5, (3, 8): 8, (3, 9): 8}
     assert len(steps) <= 40
+
+
+def test_best_members_of_a_chain(spark):
+    rows = [(1, i, "image", [], None, False, f"v{i // 2}", f"s{(i + 1) // 2}", float(i % 50)) for i in range(200)]
+    members = spark.createDataFrame(rows, "page_id long, idx long, kind string, groups array<long>, preferred_group long, art_directed boolean, variant_key string, sha1 string, size_score double")
+    got = assets.best_members(members, assets.variant_groups(members)).collect()
+    assert [(r["root"], r["best"], r["members"]) for r in got] == [(0, 49, 200)]
