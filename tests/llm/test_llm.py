@@ -361,6 +361,15 @@ def test_base_rules_by_brute_force(docs, labels):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(repeated) > 30 * len(w))
 
 
+def test_score_cut_is_the_threshold_of_all_rows(spark):
+    rng = np.random.default_rng(8)
+    good = rng.random(3000) < 0.6
+    scores = np.round(np.where(good, rng.normal(0.45, 0.05, 3000), rng.normal(0.55, 0.08, 3000)), 4).clip(0.01, 0.99)
+    df = spark.createDataFrame([(float(x), bool(g)) for x, g in zip(scores, good, strict=True)], "score double, good boolean")
+    assert rules.score_cut(df) == pytest.approx(-quality.threshold(-scores, good), abs=1e-12)
+    assert rules.score_cut(df.filter("good")) == float("inf")
+
+
 def test_main_text(spark):
     page = "<html><head><title>t</title><style>p{}</style><script>var x='</p>';</script></head><body><nav><ul><li><a href=x>menu</a></ul></nav><div class=ad>buy</div><article><h1>Head &amp; more</h1><p>one<br>two  three<p><b>four</article><footer>&copy; x</footer>"
     rows = [(1, "http://a.example/1", page), (2, None, None), (3, "x", ""), (None, "http://a.example/2", "plain <i>words</i><p>next")]
