@@ -92,3 +92,19 @@ def test_page_that_shows_no_colour(spark):
     rows = [(1, "bg", "#ffffff", 9.0, 5), (2, "pix", "#ff0000", 1.0, 1)]
     got = palette.build_palettes(spark.createDataFrame(rows, SAMPLES)).collect()
     assert [(r["page_id"], r["hex"]) for r in got] == [(1, "#ffffff")]
+
+
+def test_colours_are_not_converted_over_and_over(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(palette.build_palettes(spark.createDataFrame([(1, "bg", "#ffffff", 9.0, 5)], SAMPLES))).count("conv(") <= 40
+
+
+def test_palette_of_the_most_salient_colours_alone(spark, monkeypatch):
+    monkeypatch.setattr(palette, "MOST_COLORS", 5)
+    rng = np.random.default_rng(3)
+    rows = [(page, s, f"#{int(v):06x}", float(w), 1) for page in (1, 2) for s in ("bg", "cta", "text", "link") for v, w in zip(rng.integers(0, 1 << 24, 60), rng.integers(1, 99, 60), strict=True)]
+    df = spark.createDataFrame(rows, SAMPLES)
+    kept = {(r["of_page"], r["of_hex"]) for r in palette._kept(palette.shares(df)).collect()}
+    every = sorted(palette.salience(df).collect(), key=lambda r: (-r["salience"], r["hex"]))
+    assert kept == {(p, r["hex"]) for p in (1, 2) for r in [x for x in every if x["page_id"] == p][:5]}
+    assert all(set(r["variants"].split(",")) <= {h for p, h in kept if p == r["page_id"]} for r in palette.build_palettes(df).collect())
