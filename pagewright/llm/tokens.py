@@ -15,8 +15,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
-from itertools import pairwise
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +27,16 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, materialize, scratch
 
-#: Words whose ids a task remembers: so many new ones, and as many that it knew before those.
-CACHE_WORDS = 120_000
-#: Characters of text that are encoded together.
-SLICE_CHARS = 2_000_000
-#: Letters below this code point (Latin) are letters to every Unicode version.
-LETTERS_END = "\u0250"
+#: Bytes of text that are encoded together.
+SLICE_BYTES = 8_000_000
+#: Pieces in one text for the model, and texts that it gets together.
+PIECES, TEXTS = 64, 64
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
+#: Kinds of bytes.  Letters are those of ASCII and of U+00C0 to U+023F (their lead and following bytes), letters to every Unicode version.
+LETTER, DIGIT, MARK, WHITE, SPACE, ODD = range(6)
+#: What may follow a space that does not begin a piece: ASCII white space, or the lead byte of other white space.
+_AFTER = np.zeros(256, bool)
+_AFTER[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -48,99 +51,151 @@ class Encoder:
 
     A byte-level pre-tokenizer starts a new piece at each space that stands
     between two non-space characters, so " word" chunks encode independently of
-    each other and their ids can be remembered: in two generations of ``cache``
-    words at most, of which the older one goes when the newer one is full.  New
-    words are encoded many in one text.  Texts with a space before other white
-    space or at an end go through the tokenizer whole.
+    each other; a chunk of plain characters parts further where the kind of its
+    characters changes.  Equal pieces of the texts at hand are encoded once, many
+    in one text, and the model gets their bytes' letters with no pattern to match.
+    Chunks with other characters go through the whole tokenizer, and so do texts
+    with a space before other white space or at an end.
     """
 
-    def __init__(self, path: str, end_id: int, cache: int = CACHE_WORDS):
+    def __init__(self, path: str, end_id: int):
         self.path, self.tokenizer = path, tokenizer_of(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 and end_id < 65536 else np.dtype("<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
-        self.limit, self.known, self.older = cache, {}, {}
-        kind = self.tokenizer.pre_tokenizer
+        self.end_id = end_id
+        kind, added = self.tokenizer.pre_tokenizer, self.tokenizer.get_added_tokens_decoder().values()
         plain = type(kind).__name__ == "ByteLevel" and self.tokenizer.normalizer is None and not getattr(kind, "add_prefix_space", True) and getattr(kind, "use_regex", False)
-        self.chunks = plain and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.chunks = plain and not any(t.lstrip or t.rstrip or t.single_word or " " in t.content or not t.content.isascii() for t in added)
+        self.kinds = np.full(256, ODD, np.uint8)
+        for kinds, of in ((LETTER, [*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xC9)]), (DIGIT, range(48, 58)), (WHITE, (9, 10, 13)), (SPACE, (32,))):
+            self.kinds[[*of]] = kinds
+        self.kinds[[x for x in range(33, 127) if not chr(x).isalnum() and x != ord("'")]] = MARK  # an apostrophe may open a contraction
+        for t in added:  # a chunk that holds an added token has this byte of it
+            if t.content:
+                self.kinds[min(t.content.encode(), key=lambda x: chr(x).isalnum())] = ODD
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         if self.chunks:
-            space = chr(self.byte_letters[ord(" ")])
+            own = [x for x in range(256) if 33 <= x <= 126 or 161 <= x <= 255 and x != 173]
+            others = [x for x in range(256) if x not in own]
+            #: The letter that stands for each byte in the model; 254 and 255, which no text has, are what pieces are joined by.
+            self.letters = np.arange(256, dtype="<u4")
+            self.letters[others] = 256 + np.arange(len(others))
+            space, self.letters[254] = chr(self.letters[32]), 32
             self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(space)]] = True
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each " word"; many words are one text."""
-        return self._parted(self.tokenizer, [" " + " ".join(words[at : at + 64]) for at in range(0, len(words), 64)], words)
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of each " word" of Latin letters alone, which is one piece: the model gets its bytes' letters with no pattern to match."""
-        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.byte_letters) for w in words]
-        space = chr(self.byte_letters[ord(" ")])
-        return self._parted(pieces_of(self.path), [space + f" {space}".join(shown[at : at + 64]) for at in range(0, len(shown), 64)], words)
-
-    def _parted(self, tokenizer, texts: list[str], words: list[str]) -> list[bytes]:
-        """Ids by word: a word has one space, its first character, so its first id is the only one that opens with a space."""
-        out, size = [], self.dtype.itemsize
-        for got in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(got.ids, self.dtype)
-            row, ends = ids.tobytes(), (np.flatnonzero(self.opens[ids]) * size).tolist()
-            ends.append(len(row))
-            out += [row[a:b] for a, b in pairwise(ends)]
-        return out if len(out) == len(words) else [self.encode(" " + w) for w in words]
-
-    @cached_property
-    def byte_letters(self) -> dict[int, int]:
-        """The letter that stands for each byte in the model: printable bytes for themselves, the others from U+0100 on, in order."""
-        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
-        return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in own)}
-
-    def _learn(self, words: set[str]) -> None:
-        known = self.known
-        new = words.difference(known)
-        if len(known) + len(new) > self.limit and known:
-            self.older, self.known, new = known, {}, words
-            known = self.known
-        older, letters, fresh, ended = self.older, [], [], []
-        for w in new:
-            ids = older.get(w)
-            if ids is not None:
-                known[w] = ids
-            elif w.isalpha() and (w.isascii() or max(w) < LETTERS_END):
-                letters.append(w)
-            elif w[-1:] in self.marks and w[:-1].isascii() and w[:-1].isalpha():  # the mark is a piece of its own
-                ended.append(w)
-            else:
-                fresh.append(w)
-        for w in {w[:-1] for w in ended}.difference(known).difference(letters):
-            ids = older.get(w)
-            if ids is not None:
-                known[w] = ids
-            else:
-                letters.append(w)
-        for some, encoded in ((letters, self._letters), (fresh, self._spaced)):
-            for at in range(0, len(some), 4096):
-                part = some[at : at + 4096]
-                known.update(zip(part, encoded(part), strict=True))
-        for w in ended:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
-
-    @cached_property
-    def marks(self) -> dict[str, bytes]:
-        return {x: self.encode(x) for x in ",.!?;:"}
+            self.between = self.tokenizer.token_to_id("\xff")
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(got.ids, self.dtype) for got in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
+
+    def _opened(self, pieces: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number by piece: a piece has one space, its first character, so its first id is the only one that opens with a space."""
+        counts = np.diff(np.flatnonzero(self.opens[ids]), append=len(ids))
+        return (ids, counts) if len(counts) == len(pieces) else self._each(pieces)
+
+    def _joined(self, pieces: list[bytes], by: bytes) -> list[bytes]:
+        return [by.join(pieces[at : at + PIECES]) for at in range(0, len(pieces), PIECES)]
+
+    def _each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.encode(pieces)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def _spaced(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of " word" chunks of any characters."""
+        return self._opened(pieces, np.concatenate(self.encode(self._joined(pieces, b""))))
+
+    def _plain(self, pieces: list[bytes], spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of plain pieces that all or none have a space."""
+        if not spaced and self.between is None:
+            return self._each(pieces)
+        joined = self._joined(pieces, b"\xfe") if spaced else [x + b"\xfe\xff" for x in self._joined(pieces, b"\xfe\xff\xfe")]
+        texts = [self.letters[np.frombuffer(x, np.uint8)].tobytes().decode("utf-32-le") for x in joined]
+        ids = np.concatenate([np.array(got.ids, self.dtype) for got in pieces_of(self.path).encode_batch_fast(texts, add_special_tokens=False)])
+        if spaced:
+            return self._opened(pieces, ids)
+        apart = ids == self.between
+        return ids[~apart], np.diff(np.flatnonzero(apart), prepend=-1) - 1
+
+    def pieces(self, text: np.ndarray, offsets: np.ndarray, odd_texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces start in the bytes of many texts, and where those do that the whole tokenizer must see."""
+        kind, filled = self.kinds[text], offsets[:-1][np.diff(offsets) > 0]
+        kind[:-1][(text[:-1] == 0xC3) & ((text[1:] == 0x97) | (text[1:] == 0xB7))] = ODD  # times and division signs
+        start, chunk = np.zeros(len(text) + 1, bool), kind == SPACE
+        for i in np.flatnonzero(odd_texts):
+            chunk[offsets[i] : offsets[i + 1]] = False
+            kind[offsets[i]] = ODD
+        chunk[filled] = True
+        start[1:-1] = (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE)
+        start[:-1] |= chunk
+        # Of several white characters before a word without a space, the last is a piece of its own.
+        after = np.append(kind[1:], ODD)
+        after[filled[1:] - 1] = WHITE
+        after[-1] = WHITE
+        start[:-1] |= (kind == WHITE) & (after != WHITE) & (after != SPACE)
+        whole = np.empty(0, np.int64)
+        odd = np.flatnonzero(kind == ODD)
+        if len(odd):
+            chunks = np.flatnonzero(chunk)
+            which = np.unique(np.searchsorted(chunks, odd, "right") - 1)
+            whole, ends = chunks[which], np.append(chunks, len(text))[which + 1]
+            inside = np.zeros(len(text) + 1, np.int8)
+            inside[whole] = 1
+            inside[ends] -= 1
+            start[:-1] &= (np.cumsum(inside[:-1], dtype=np.int8) == 0) | chunk
+        return np.flatnonzero(start), whole
+
+    def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each with the end id behind it, and their number by text."""
+        if not len(texts):
+            return np.empty(0, self.dtype), np.empty(0, np.int64)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        text = np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not self.chunks or not len(text):
+            ids = [np.append(x, self.dtype.type(self.end_id)) for x in self.encode([x.as_buffer().to_pybytes() for x in texts])]
+            return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+        odd_texts, spaces = np.zeros(len(texts), bool), np.flatnonzero(text == 32)
+        after = np.append(text, 32)[spaces + 1]
+        ended = np.zeros(len(text) + 1, bool)
+        ended[offsets] = True
+        for i in np.unique(np.searchsorted(offsets, spaces[ended[spaces + 1] | _AFTER[after]], "right") - 1):
+            odd_texts[i] = bool(_ODD_SPACE.search(texts[int(i)].as_py()))
+        starts, whole = self.pieces(text, offsets, odd_texts)
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(text))), pa.py_buffer(text)]).dictionary_encode()
+        at, distinct = found.indices.to_numpy(), found.dictionary.to_pylist()
+        odd = np.zeros(len(distinct), bool)
+        odd[at[np.searchsorted(starts, whole)]] = True
+        groups: list[list[int]] = [[], [], [], []]
+        for i, (piece, special) in enumerate(zip(distinct, odd.tolist(), strict=True)):
+            spaced = piece[0] == 32
+            groups[(spaced and not _ODD_SPACE.search(piece.decode())) + 2 if special else spaced].append(i)
+        ids, counts, first, seen = [], np.ones(len(distinct) + 1, np.int64), np.zeros(len(distinct) + 1, np.int64), 0
+        for group, way in zip(groups, (lambda x: self._plain(x, False), lambda x: self._plain(x, True), self._each, self._spaced), strict=True):
+            for k in range(0, len(group), PIECES * TEXTS):
+                some = group[k : k + PIECES * TEXTS]
+                got, n = way([distinct[i] for i in some])
+                ids.append(got)
+                counts[some], first[some] = n, seen + np.cumsum(n) - n
+                seen += len(got)
+        ids, first[-1] = np.concatenate([*ids, np.array([self.end_id], self.dtype)]), seen
+        # The end is one more piece behind each text's.
+        of_text = np.searchsorted(starts, offsets[1:])
+        at = np.insert(at, of_text, len(distinct))
+        n = counts[at]
+        ends = np.cumsum(n)
+        shift = first[at] - ends + n
+        total = int(ends[-1])
+        if max(total, len(ids)) < 1 << 31:
+            shift = shift.astype(np.int32)
+        place = np.repeat(shift, n)
+        place += np.arange(total, dtype=place.dtype)
+        return ids[place], np.diff(ends[of_text + np.arange(len(texts))], prepend=0)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as bytes."""
-        split = [text.split(" ") if self.chunks and not _ODD_SPACE.search(text) else None for text in texts]
-        self._learn(set().union(*(w[1:] for w in split if w)))
-        known, out = self.known, []
-        for text, words in zip(texts, split, strict=True):
-            if words:
-                out.append(self.encode(words[0]) + b"".join(map(known.__getitem__, words[1:])) + self.end)
-            else:
-                out.append(self.encode(text) + self.end)
-        return out
+        ids, counts = self.encoded(pa.array(texts, pa.string()))
+        ends = np.cumsum(counts)
+        return [ids[a:b].tobytes() for a, b in zip(ends - counts, ends, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -163,18 +218,17 @@ def pieces_of(path: str):
     return found
 
 
-def _slices(batch: pa.RecordBatch, chars: int = SLICE_CHARS) -> Iterator[tuple[list[int | None], list[str]]]:
-    """Ids and texts of a batch's rows, about ``chars`` characters at a time, so that the words of few texts are held at once."""
-    ids, texts, size = [], [], 0
-    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        ids.append(doc)
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
-        if size >= chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Ids and texts of rows, about SLICE_BYTES together or a batch."""
+    held, size = [], 0
+    for batch in chain(batches, [None]):
+        if held and (batch is None or size + batch.nbytes > SLICE_BYTES):
+            table = pa.Table.from_batches(held)
+            yield tuple(pa.concat_arrays(c.cast(t).chunks) for c, t in zip(table.columns, (pa.int64(), pa.large_string()), strict=True))
+            held, size = [], 0
+        if batch is not None:
+            held.append(batch)
+            size += batch.nbytes
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, parts: int | None = None) -> DataFrame:
@@ -198,16 +252,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         part, (fs, root) = context.partitionId(), filesystem(folder)
         stem = f"{part}-{context.taskAttemptId()}"
         docs_seen, offsets, total, nulls, out, encoder = [], [0], 0, 0, None, Encoder(tokenizer_path, end_id)
-        for batch in batches:
+        for docs_here, some in _slices(batches):
             if out is None:
                 out = fs.open_output_stream(f"{root}/{stem}.bin")
-            for ids, some in _slices(batch):
-                nulls += ids.count(None)
-                for doc, row in zip(ids, encoder.batch(some), strict=True):
-                    out.write(row)
-                    total += len(row) // width
-                    docs_seen.append(doc or 0)
-                    offsets.append(total)
+            ids, counts = encoder.encoded(some)
+            out.write(ids.tobytes())
+            nulls += docs_here.null_count
+            docs_seen += docs_here.fill_null(0).to_pylist()
+            offsets += (total + np.cumsum(counts)).tolist()
+            total += len(ids)
         if out is None:
             return
         out.close()

@@ -275,6 +275,43 @@ def test_chunked_encoding_is_the_tokenizers(text):
     assert np.frombuffer(e.batch([text])[0], e.dtype).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids + [2]
 
 
+@pytest.mark.parametrize("text", ["a\n\nb\n\n\n c\n", "\n\nfoo\t\tbar", "12a3 b4.5--c d", "na\u00efve \u00e9t\u00e9\u00d7\u00f7 \u0237\u0241 \u024f x\u00b2", "a\x0b\x0bb \x1cc", "x <|endoftext|>y z<|", "a\u00a0b \u3000c", "l'un 's don't", "\ufeffa \u4e2d\u6587\uff0c b"])
+def test_pieces_are_the_tokenizers(text):
+    e = tokens.Encoder(queries.tokenizer_path(), 2)
+    texts = ["", text, "b " + text, "", text.replace(" ", "  "), text + "\n\n", "a b"]
+    for x, got in zip(texts, e.batch(texts), strict=True):
+        assert np.frombuffer(got, e.dtype).tolist() == e.tokenizer.encode(x, add_special_tokens=False).ids + [2]
+
+
+def test_the_model_sees_a_piece_once(monkeypatch):
+    seen = []
+
+    class Counting:
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, texts, **how):
+            seen.extend(texts)
+            return self.own.encode_batch_fast(texts, **how)
+
+        def encode(self, text, **how):
+            seen.append(text)
+            return self.own.encode(text, **how)
+
+    plain, pieces = tokens.tokenizer_of(queries.tokenizer_path()), tokens.pieces_of(queries.tokenizer_path())
+    monkeypatch.setattr(tokens, "tokenizer_of", lambda path: Counting(plain))
+    monkeypatch.setattr(tokens, "pieces_of", lambda path: Counting(pieces))
+    stems = ["".join(chr(97 + (i * k) % 26) for k in (1, 3, 7, 11)) + "\u00e9" * (i % 2) for i in range(40)]
+    texts = [" ".join(f"{a}.\n{b},{i}" for b in stems) for i, a in enumerate(stems)]
+    e = tokens.Encoder(queries.tokenizer_path(), 2)
+    got = e.batch(texts)
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 10
+    assert [np.frombuffer(x, e.dtype).tolist() for x in got] == [plain.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+
+
 def test_language_model_counts_and_base(docs):
     want = {}
     words = [(d, (t or "").lower().encode().split()) for d, t in ROWS]
