@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,55 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def merged(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in their order, in batches of about ``size`` bytes; a larger batch stays as it is."""
+    held, bytes_held = [], 0
+    for batch in batches:
+        if held and bytes_held + batch.nbytes > size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, bytes_held = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            bytes_held += batch.nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def listed(column: pa.Array) -> list[bytes]:
+    """The values of a large binary column without nulls; its own to_pylist makes an object more for each."""
+    if not len(column):
+        return []
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2].to_pybytes() if column.buffers()[2] is not None else b""
+    return [data[a:b] for a, b in pairwise(offsets)]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLACK = np.ones(256, bool)
+_BLACK[[*range(9, 14), 32]] = False
+
+
+def lower_words(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-cased words of a text column, text after text, as places among its distinct words, and their number by text."""
+    texts = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return pa.array([], pa.large_binary()).dictionary_encode(), np.empty(0, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    text = np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    black = _BLACK[text]
+    start = black.copy()
+    start[1:] &= ~black[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    start[first] = black[first]
+    counts = np.diff(np.searchsorted(np.flatnonzero(start), offsets))
+    letters, at = _LOWER[text[black]], np.flatnonzero(start[black])
+    words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(letters))), pa.py_buffer(letters)])
+    return words.dictionary_encode(), counts
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 

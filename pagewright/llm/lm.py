@@ -19,7 +19,6 @@ task (at most HOT_WORDS); the others meet their documents' rare words in a join.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import map_batches, materialize, texts_of
+from .common import listed, lower_words, map_batches, materialize, merged
 
 CLASSES, WORDS, HIDDEN, EMBED = 32, 32, 16, 16
 KINDS = 16
@@ -45,19 +44,26 @@ SHARD_TOKENS, LEAST_SHARDS = 500_000, 8
 MOST_TASKS = 20_000
 #: Parameters are averaged as integers of this unit, weighted by so many tokens.
 UNIT, WEIGHT_TOKENS = 2.0**-24, 512
-#: Tokens that are packed into lanes together, and distinct words that a task holds.
-BLOCK_TOKENS, HELD_WORDS = 600_000, 600_000
+#: Tokens that are packed into lanes together, words whose counts a task holds, and bytes of text that are parted together.
+BLOCK_TOKENS, HELD_WORDS, SLICE_BYTES = 600_000, 600_000, 8_000_000
 END = -1
-_MARK, _PAUSE = frozenset(b".!?"), frozenset(b",;:*#$%&\"')")
+#: By byte: what a last character adds to the kind of its word, and which are no ASCII letters or digits.
+_LAST = np.zeros(256, np.int64)
+_LAST[list(b".!?")], _LAST[list(b",;:*#$%&\"')")] = 1, 2
+_OTHER = np.array([not bytes([x]).isalnum() for x in range(256)])
 
 
-def word_key(word: bytes) -> int:
-    """A 63-bit hash of a word whose low four bits are its kind."""
-    last = word[-1]
-    kind = (1 if last in _MARK else 2 if last in _PAUSE else 0) + (3 if len(word) > 6 else 0) + (6 if not word.isascii() else 0)
-    if not word.isalnum() and last not in _MARK and last not in _PAUSE and word.isascii():
-        kind = 12 + (len(word) > 3)
-    return (xxhash.xxh3_64_intdigest(word) >> 1) & ~15 | kind
+def word_keys(words: pa.Array) -> np.ndarray:
+    """A 63-bit hash of each word (not empty) whose low four bits are its kind."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    letters = np.frombuffer(words.buffers()[2], np.uint8)[: offsets[-1]]
+    length, last = np.diff(offsets), _LAST[letters[offsets[1:] - 1]]
+    ascii_ = np.maximum.reduceat(letters, offsets[:-1]) < 128
+    kind = np.where((last == 0) & ascii_ & np.logical_or.reduceat(_OTHER[letters], offsets[:-1]), 12 + (length > 3), last + 3 * (length > 6) + 6 * ~ascii_)
+    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, listed(words)), np.uint64, len(words))
+    return (digests >> np.uint64(1)).astype(np.int64) & ~15 | kind
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -69,19 +75,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """key and n of each distinct word of ``docs`` (key END: documents), summed per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, ends = Counter(), 0
+        held, ends = [], 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.fromiter(map(word_key, held), np.int64, len(held))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(keys, END)), pa.array(np.append(np.fromiter(held.values(), np.int64, len(held)), ends))], ["key", "n"])
-
-        for batch in batches:
-            for text in texts_of(batch.column(0)):
-                held.update(text.lower().split())
-                ends += 1
-            if len(held) > HELD_WORDS:
+            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(keys, END)), pa.array(np.append(counts, ends))], ["key", "n"])
+
+        for batch in merged(batches, SLICE_BYTES):
+            words, _ = lower_words(batch.column(0))
+            held.append((word_keys(words.dictionary), np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))))
+            ends += batch.num_rows
+            if sum(len(k) for k, _ in held) > HELD_WORDS:
                 yield flush()
-                held, ends = Counter(), 0
+                held, ends = [], 0
         if ends:
             yield flush()
 
@@ -127,32 +134,30 @@ class Statistics:
         return np.log10((counts + 1) / (self.rare_n[kinds] + self.rare_v[kinds] + 1))
 
 
-class Codes(dict):
-    """word -> place among the hot words, or -1 - key for another word."""
+class Codes:
+    """Places of words among the hot words, or -1 - key for other words."""
 
-    def __init__(self, statistics: Statistics, limit: int = 100_000):
-        super().__init__()
-        self.places, self.limit = {int(k): i for i, k in enumerate(statistics.keys)}, limit
+    def __init__(self, statistics: Statistics):
+        self.order = np.argsort(statistics.keys)
+        self.keys = statistics.keys[self.order]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        key = word_key(word)
-        found = self[word] = self.places.get(key, -1 - key)
-        return found
+    def of(self, words: pa.Array) -> np.ndarray:
+        keys = word_keys(words)
+        if not len(self.keys):
+            return -1 - keys
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.order[at], -1 - keys)
 
 
 def model_ids(codes: np.ndarray, statistics: Statistics) -> np.ndarray:
-    """Model ids of a document's words and of its end."""
-    out = np.zeros(len(codes) + 1, np.int32)
+    """Model ids of words by their codes."""
     rare = codes >= statistics.vocabulary
     unknown = codes < 0
     ids = codes + 1 + KINDS
     if rare.any():
         ids[rare] = 1 + (statistics.keys[codes[rare]] & 15)
     ids[unknown] = 1 + ((-1 - codes[unknown]) & 15)
-    out[:-1] = ids
-    return out
+    return ids
 
 
 def _model(statistics: Statistics) -> gru.Model:
@@ -169,20 +174,23 @@ def coded(docs: DataFrame, learns: Column, shared: Broadcast) -> DataFrame:
         hot_rare = np.where(np.arange(len(own.keys)) < own.vocabulary, 0.0, own.rare_log(own.counts.astype(np.float64), own.keys & 15))
         end = float(own.base_log(np.array([float(own.ends)]))[0])
         row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for text in texts_of(batch.column(1)):
-                words = text.lower().split()
-                d = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                hot = d[d >= 0]
-                keys, times = np.unique(-1 - d[d < 0], return_counts=True)
-                values = (model_ids(d, own).astype("<u2").tobytes(), len(d) + 1, len(hot) + (own.ends > 0), float(hot_base[hot].sum()) + end, float(hot_rare[hot].sum()), keys, times)
-                for column, value in zip(columns, values, strict=True):
-                    column.append(value)
-            types = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + batch.num_rows)), batch.column(0), batch.column(2), *arrays], ["row", "doc_id", "learns", "ids", "n_tokens", "n_known", "base_score", "hot_score", "rare", "times"])
-            row += batch.num_rows
+        for batch in merged(batches, SLICE_BYTES):
+            words, counts = lower_words(batch.column(1))
+            n, at, distinct = len(counts), words.indices.to_numpy(), codes.of(words.dictionary)
+            ends, text = np.cumsum(counts), np.repeat(np.arange(n), counts)
+            ids = np.insert(model_ids(distinct, own).astype("<u2")[at], ends, 0)
+            hot = (distinct >= 0)[at]
+            hot_at, hot_text = distinct[at[hot]], text[hot]
+            pairs, times = np.unique(text[~hot] * max(len(distinct), 1) + at[~hot], return_counts=True)
+            rare = np.concatenate([[0], np.cumsum(np.bincount(pairs // max(len(distinct), 1), minlength=n))]).astype(np.int32)
+            arrays = [
+                pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(2 * np.concatenate([[0], ends + np.arange(1, n + 1)])), pa.py_buffer(ids)]).cast(pa.binary()),
+                pa.array(counts + 1), pa.array(np.bincount(hot_text, minlength=n) + (own.ends > 0)),
+                pa.array(np.bincount(hot_text, hot_base[hot_at], n) + end), pa.array(np.bincount(hot_text, hot_rare[hot_at], n)),
+                pa.ListArray.from_arrays(rare, pa.array(-1 - distinct[pairs % max(len(distinct), 1)])), pa.ListArray.from_arrays(rare, pa.array(times)),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0), batch.column(2), *arrays], ["row", "doc_id", "learns", "ids", "n_tokens", "n_known", "base_score", "hot_score", "rare", "times"])
+            row += n
 
     return materialize(map_batches(docs.withColumn("learns", learns), run, "row long, doc_id long, learns boolean, ids binary, n_tokens long, n_known long, base_score double, hot_score double, rare array<long>, times array<long>"), "lm-coded")
 

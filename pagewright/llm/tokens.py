@@ -16,7 +16,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, scratch
+from .common import listed, map_batches, materialize, merged, scratch
 
 #: Bytes of text that are encoded together.
 SLICE_BYTES = 8_000_000
@@ -162,7 +161,7 @@ class Encoder:
             odd_texts[i] = bool(_ODD_SPACE.search(texts[int(i)].as_py()))
         starts, whole = self.pieces(text, offsets, odd_texts)
         found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(text))), pa.py_buffer(text)]).dictionary_encode()
-        at, distinct = found.indices.to_numpy(), found.dictionary.to_pylist()
+        at, distinct = found.indices.to_numpy(), listed(found.dictionary)
         odd = np.zeros(len(distinct), bool)
         odd[at[np.searchsorted(starts, whole)]] = True
         groups: list[list[int]] = [[], [], [], []]
@@ -218,19 +217,6 @@ def pieces_of(path: str):
     return found
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Ids and texts of rows, about SLICE_BYTES together or a batch."""
-    held, size = [], 0
-    for batch in chain(batches, [None]):
-        if held and (batch is None or size + batch.nbytes > SLICE_BYTES):
-            table = pa.Table.from_batches(held)
-            yield tuple(pa.concat_arrays(c.cast(t).chunks) for c, t in zip(table.columns, (pa.int64(), pa.large_string()), strict=True))
-            held, size = [], 0
-        if batch is not None:
-            held.append(batch)
-            size += batch.nbytes
-
-
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, parts: int | None = None) -> DataFrame:
     """Write the data set and return its manifest: part, stem, n_docs, n_nulls, n_tokens, first_id, width, base.
 
@@ -252,13 +238,13 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str,
         part, (fs, root) = context.partitionId(), filesystem(folder)
         stem = f"{part}-{context.taskAttemptId()}"
         docs_seen, offsets, total, nulls, out, encoder = [], [0], 0, 0, None, Encoder(tokenizer_path, end_id)
-        for docs_here, some in _slices(batches):
+        for batch in merged(batches, SLICE_BYTES):
             if out is None:
                 out = fs.open_output_stream(f"{root}/{stem}.bin")
-            ids, counts = encoder.encoded(some)
+            ids, counts = encoder.encoded(batch.column(1))
             out.write(ids.tobytes())
-            nulls += docs_here.null_count
-            docs_seen += docs_here.fill_null(0).to_pylist()
+            nulls += batch.column(0).null_count
+            docs_seen += batch.column(0).fill_null(0).to_pylist()
             offsets += (total + np.cumsum(counts)).tolist()
             total += len(ids)
         if out is None:

@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, html, linededup, lm, mixing, neardup, quality, queries, rules, tokens, warc
+from pagewright.llm import common, decontam, html, linededup, lm, mixing, neardup, quality, queries, rules, tokens, warc
 
 SCHEMA = "doc_id long, text string, source string, size long, target double, score double, kept boolean, component_id long, __id long"
 PROSE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from a tall old oak tree near the river bank at dusk"
@@ -326,6 +328,23 @@ def test_language_model_counts_and_base(docs):
         assert abs(r["base_score"] - want[r["doc_id"]][3]) < 1e-6 and r["score"] < 0
 
 
+def test_words_of_many_texts_together():
+    texts = ["", None, "  A b\tB.\n\nb.", " ", "\x1cx \u00c9A\u00a0b", "long_word wordlong ## a- \u4e2d", "", "b"]
+    for skip in (0, 1, 3):
+        words, counts = common.lower_words(pa.array(texts, pa.string()).slice(skip))
+        want = [(t or "").encode().lower().split() for t in texts[skip:]]
+        assert counts.tolist() == [len(x) for x in want] and words.to_pylist() == [w for x in want for w in x]
+    keys = dict(zip(words.dictionary.to_pylist(), lm.word_keys(words.dictionary).tolist(), strict=True))
+    assert {w: k & 15 for w, k in keys.items()} == {b"\x1cx": 12, "\u00c9a\u00a0b".encode().lower(): 6, b"long_word": 13, b"wordlong": 3, b"##": 2, b"a-": 12, "\u4e2d".encode(): 6, b"b": 0}
+    assert all(k >> 4 == xxhash.xxh3_64_intdigest(w) >> 5 for w, k in keys.items())
+
+
+def test_batches_are_merged_by_size():
+    batches = [pa.record_batch([pa.array(["x" * n] * k, pa.string())], ["text"]) for n, k in ((10, 3), (0, 0), (500, 1), (10, 1), (10, 2))]
+    got = list(common.merged(iter(batches), 100))
+    assert [b.num_rows for b in got] == [3, 1, 3] and pa.Table.from_batches(got).equals(pa.Table.from_batches(batches).combine_chunks())
+
+
 @pytest.mark.parametrize("n_docs", [3, 400])
 def test_language_model_trains_on_every_window_once(n_docs, monkeypatch):
     class Counting(lm.gru.Model):
